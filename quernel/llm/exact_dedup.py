@@ -5,8 +5,8 @@ equal texts the row with the most code points in its original text stays, then t
 
 A frequent-items sketch of the Misra-Gries family finds the digests that may be frequent. Their exact
 counts and winners are computed by a grouped aggregation with map-side combining, and these verified
-winners (at most COUNTERS rows) are broadcast: rows of frequent digests are decided where they are read
-and never shuffled. All other digests have at most about n / COUNTERS rows each and are shuffled once.
+winners (at most skew.COUNTERS rows) are broadcast: rows of frequent digests are decided where they are read
+and never shuffled. All other digests have at most about n / skew.COUNTERS rows each and are shuffled once.
 
 Defined cases: a null text counts as empty; a null doc_id is larger than any other; of rows that agree
 in everything one stays; an empty table gives an empty result; columns besides the id and the text are
@@ -18,14 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.skew import frequent
 from quernel.runtime import broadcast_if_small, cut, fresh
 
-#: Counters of the sketch: bounds the broadcast winners, and the size of a group that is shuffled.
-COUNTERS = 4096
-#: Sketches are merged in two levels, so that no task merges more than this many or its share of partitions.
-MERGE_WAYS = 64
-WHITE = " \t\n\x0b\x0c\r"
-
 
 def digest(text):
     """SHA-256 of the normalised text, as 32 bytes."""
@@ -45,14 +40,6 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def frequent(rows: DataFrame) -> DataFrame:
-    """Digest hashes that may be frequent: at most COUNTERS rows, merged in two levels."""
-    part = rows.select(F.xxhash64("digest").alias("h"), F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)).alias("way"))
-    sketches = part.groupBy("way").agg(F.expr(f"approx_top_k_accumulate(h, {COUNTERS}) AS sketch"))
-    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS}) AS sketch"))
-    return top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {COUNTERS})")).alias("t")).select(F.col("t.item").alias("h"))
-
-
 def _best():
     return F.min(F.struct((-F.col("n")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
 
@@ -61,7 +48,7 @@ def decide(rows: DataFrame) -> DataFrame:
     """rows of narrow() with best (the winner) and size (of the group)."""
     if rows.isEmpty():
         return rows.withColumn("best", F.struct((-F.col("n")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).withColumn("size", F.lit(0).cast("long"))
-    maybe = rows.join(F.broadcast(frequent(rows).withColumnRenamed("h", "h_")), F.xxhash64("digest") == F.col("h_"), "left_semi")
+    maybe = rows.join(F.broadcast(frequent(rows, F.col("digest")).withColumnRenamed("h", "h_")), F.xxhash64("digest") == F.col("h_"), "left_semi")
     winners = cut(maybe.groupBy("digest").agg(_best().alias("best"), F.count("*").alias("size")).filter("size > 1"))
     heavy = rows.join(F.broadcast(winners), "digest")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
