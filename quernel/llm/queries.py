@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import bpe, exact_dedup, secret_scan, simhash
+from quernel.llm import bpe, exact_dedup, secret_scan, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE = {
