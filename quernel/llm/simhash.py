@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.skew import skew_join
-from quernel.runtime import cut, ship_package
+from quernel.runtime import broadcast_if_small, cut, fresh, ship_package
 
 WORDS = 3
 BITS = 3
@@ -274,3 +274,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     got = classes(simhash(docs, id_col, text_col, words))
     return got.select("doc_id", F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """docs with one row of each group, that of the least doc_id (and hash of the text, among rows of one id); same columns."""
+    h, i, g = fresh(docs, "q_hash"), fresh(docs, "q_id"), fresh(docs, "q_of")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), key.alias("h")).alias("doc_id"), F.col(text_col).alias("text"))
+    got = cut(classes(simhash(slim, "doc_id", "text", words)))
+    lost = cut(got.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.i").alias(i), F.col("doc_id.h").alias(g)).distinct())
+    again = cut(got.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id.i").alias(i), F.col("doc_id.h").alias(g)))
+    on = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(g))
+    out = docs.withColumn(h, key).join(broadcast_if_small(lost), on, "left_anti")
+    if not again.isEmpty():  # rows that agree in id and text: one of them stays
+        side = broadcast_if_small(again)
+        out = out.join(side, on, "left_anti").unionByName(out.join(side, on, "left_semi").dropDuplicates([id_col, h]))
+    return out.drop(h)
