@@ -1 +1 @@
-"""sources"""
+"""Sources and sinks: file formats, stores, encoders."""

@@ -1 +1 @@
-"""streaming"""
+"""Background work as Structured Streaming."""
