@@ -51,33 +51,39 @@ def template(raw: Column) -> Column:
     return F.lower(F.regexp_replace(text, rf"(?i)(?<=(?<![\p{{L}}\p{{N}}]){NUMBER} )(?:{UNITS})(?![\p{{L}}\p{{N}}_])", UNIT))
 
 
-def windows(rows: DataFrame, size: Column | int) -> DataFrame:
-    """rows (words, raw) with at (from 0) and key for each window of size tokens."""
-    size = F.lit(size) if isinstance(size, int) else size
+def windows(rows: DataFrame, size: int) -> DataFrame:
+    """rows without words and raw, with key, at (from 0) and seen for each window of size tokens; seen: its raw tokens if it has slots."""
     n = F.size("words")
-    every = F.when((size > 0) & (n >= size), F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    return rows.select("*", F.explode(every).alias("at")).withColumn("key", F.xxhash64(F.slice("words", F.col("at") + 1, size)))
+    every = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    cut_out = lambda c, i: F.slice(c, i + 1, F.lit(size))
+    has_slot = lambda i: F.col("slotted") & F.exists(cut_out("words", i), lambda w: w.startswith("_"))
+    each = F.transform(every, lambda i: F.struct(F.xxhash64(cut_out("words", i)).alias("key"), i.alias("at"), F.when(has_slot(i), cut_out("raw", i)).alias("seen")))
+    kept = [c for c in rows.columns if c not in ("words", "raw", "slotted")]
+    return rows.select(*kept, F.inline(each))
 
 
 def _split(rows: DataFrame, text_col: str) -> DataFrame:
-    rows = rows.withColumn("plain", raw_tokens(F.col(text_col))).drop(text_col)
-    return rows.withColumn("words", _tokens(template(F.col("plain")))).withColumn("raw", _tokens(F.lower("plain"))).drop("plain")
+    """rows with words, raw and slotted (is there any placeholder) in place of the text."""
+    kept = [c for c in rows.columns if c != text_col]
+    made = rows.select(*kept, raw_tokens(F.col(text_col)).alias("plain")).select(*kept, "plain", template(F.col("plain")).alias("mould"))
+    parts = F.struct(_tokens(F.col("mould")).alias("words"), _tokens(F.lower("plain")).alias("raw"), F.col("mould").contains("_").alias("slotted"))
+    # an explode of one element keeps the optimizer from moving the split into the work on each window
+    return made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, matched, windows, coverage, slots, changed, kind for each item that a document leaks, with its row number rid."""
-    items = _split(benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text")), "text").withColumn("span", F.least(F.lit(WINDOW), F.size("words")))
-    items = items.withColumn("item", F.monotonically_increasing_id()).withColumn("windows", F.size("words") - F.col("span") + 1)
-    part = lambda c: F.slice(c, F.col("at") + 1, F.col("span"))
-    asked = windows(items, F.col("span")).select("item", "item_id", "windows", "span", F.col("at").alias("item_at"), "key", part("words").alias("item_words"), part("raw").alias("item_raw"))
-    asked = cut(asked)
-    known = asked.count()
+    items = _split(benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text")), "text").filter(F.size("words") > 0)
+    items = cut(items.withColumn("span", F.least(F.lit(WINDOW), F.size("words"))).withColumn("item", F.monotonically_increasing_id()))
     text = _split(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").withColumn("rid", F.monotonically_increasing_id())
     hits = None
-    for span in [r["span"] for r in asked.select("span").distinct().collect()]:  # WINDOW values at most
-        mine = asked.filter(F.col("span") == span).drop("span")
-        seen = windows(text, span).join(broadcast_if_small(mine, BENCH_ROWS, known), "key")
-        seen = seen.select("rid", "doc_id", "item", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "item_words", "item_raw", F.slice("raw", F.col("at") + 1, span).alias("doc_raw"))
+    for span in [r["span"] for r in items.select("span").distinct().collect()]:  # WINDOW values at most
+        mine = items.filter(F.col("span") == span)
+        whole = mine.select("item", F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
+        asked = windows(mine.withColumn("windows", F.size("words") - span + 1), span).select("item", "item_id", "windows", "key", F.col("at").alias("item_at")).join(whole, "item")
+        asked = cut(asked.withColumns({c: F.slice(c, F.col("item_at") + 1, F.lit(span)) for c in ("item_words", "item_raw")}))
+        seen = windows(text, span).join(broadcast_if_small(asked, BENCH_ROWS), "key")
+        seen = seen.select("rid", "doc_id", "item", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "item_words", "item_raw", F.coalesce("seen", "item_raw").alias("doc_raw"))
         hits = seen if hits is None else hits.unionByName(seen)
     if hits is None:
         return docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast(k).alias(c) for c, k in (("matched", "long"), ("windows", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"))], F.lit("").alias("kind"), F.lit(0).cast("long").alias("rid"))
