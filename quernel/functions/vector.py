@@ -37,5 +37,5 @@ def hash_encode(text: Column, dim: int) -> Column:
     # Offset basis and prime of 32-bit FNV-1a.
     fnv = lambda w: F.aggregate(chars(w), F.lit(2166136261), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619) % 4294967296)
     slots = F.transform(words, lambda w: (fnv(w) % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
-    return normalize(counts)
+    none = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return F.aggregate(slots, none, lambda a, s: F.transform(a, lambda x, i: F.when(i == s, x + F.lit(1.0).cast("float")).otherwise(x)), normalize)

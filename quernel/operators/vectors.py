@@ -20,7 +20,7 @@ def valid_vectors(cache: DataFrame, model: str, dim: int | None = None) -> DataF
 
 def attach(passages: DataFrame, vectors: DataFrame) -> DataFrame:
     """passages with vec, null where none is cached. One vector serves all passages with the same text."""
-    one = vectors.groupBy("chunk_hash").agg(F.first("vec").alias("vec"))
+    one = vectors.groupBy("chunk_hash").agg(F.min_by("vec", "doc_id").alias("vec"))
     return passages.join(one, "chunk_hash", "left")
 
 

@@ -30,9 +30,15 @@ def _kind(field: str):
 def read_chat_files(spark: SparkSession, path: str, chat_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chats, messages) from *.jsonl files.
 
+    See parse_chats."""
+    return parse_chats(_files(spark, path, f"{chat_id or '*'}.jsonl").select("stem", F.col("modificationTime").alias("updated"), F.col("content").cast("string").alias("all")))
+
+
+def parse_chats(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chats, messages) from the text of files (stem, updated, all).
+
     A last line without its line end is dropped, blank and malformed lines are skipped; the first line that
     isn't blank is the header if it has v > 0, else a message like the others; a message has a role."""
-    files = _files(spark, path, f"{chat_id or '*'}.jsonl").select("stem", F.col("modificationTime").alias("updated"), F.col("content").cast("string").alias("all"))
     whole = F.regexp_replace("all", r"[^\n]*\z", "")
     lines = files.select("stem", "updated", F.posexplode(F.filter(F.split(whole, "\n"), lambda x: ~is_blank(x))).alias("at", "line")).withColumn("j", F.try_parse_json("line"))
     get = lambda k, t: F.try_variant_get("j", f"$.{k}", t)
@@ -47,13 +53,18 @@ def read_chat_files(spark: SparkSession, path: str, chat_id: str | None = None)
 
 
 def read_lock(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a lock file: kind, repo, rev, file, bytes, sha256, profile; other kinds leave columns null.
+    """Rows of a lock file; see parse_lock."""
+    return parse_lock(spark.read.text(path))
+
+
+def parse_lock(lines: DataFrame) -> DataFrame:
+    """Rows of a lock file's lines (value): kind, repo, rev, file, bytes, sha256, profile; other kinds leave columns null.
 
     Kinds: model and embed have all fields, binary has file, bytes, sha256; release has repo (tag in rev)."""
     p = F.split(F.trim("value"), r"\s+")
     at = lambda i: F.get(p, F.lit(i))
     full, binary = at(0).isin("model", "embed"), at(0) == "binary"
-    rows = spark.read.text(path).filter(~is_blank(F.col("value")) & ~F.col("value").startswith("#"))
+    rows = lines.filter(~is_blank(F.col("value")) & ~F.col("value").startswith("#"))
     return rows.select(
         at(0).alias("kind"),
         F.when(full, at(1)).when(at(0) == "release", at(2)).alias("repo"),
