@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quernel.runtime import Stored, broadcast_if_small, cut, ship_package
 
 LENGTH = 400
-GRAM = 256
+GRAM = 288
 #: Bytes that are hashed together, at most 2^POSITION.
 SEGMENT, POSITION = 1 << 20, 21
 #: Suffixes of a bucket.
@@ -145,13 +145,28 @@ def multikey(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return order
 
 
-def repeats(stored: DataFrame, rows: int, tokens: list[str], depths: list[int]) -> DataFrame:
-    """Rows whose first token(s) are repeated, with a column r<depth> for each depth: the first `depth` tokens are repeated, and
-    one: the first row of its run of equal tokens. depths ascend; rows that aren't repeated at the first are left out."""
-    names, width = stored.columns, len(stored.columns)
+def repeats(table: DataFrame, rows: int, tokens: list[str], depths: list[int], fold: bool = False) -> tuple[DataFrame, Stored]:
+    """Rows of table whose first token(s) are repeated, and where they are kept until drop().
+
+    Column r<depth> for each depth: the first `depth` tokens are repeated; one: the first row of its run of equal
+    tokens. depths ascend; rows that aren't repeated at the first are left out. fold: rows that follow each other
+    in a text (doc_id, h, first) become one with last, the last of them."""
+    names, width = table.columns, len(table.columns)
     at = [names.index(t) for t in tokens]
     spread = [n for n in names if n not in tokens]
-    parts = max(1, -(-rows // BUCKET), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-rows // BUCKET), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def folded(whole: pa.Table, keep: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to keep (by place in whole) and their last; rows at a bucket's edge stay single."""
+        i = np.flatnonzero(keep)
+        first = whole.column("first").to_numpy()[i]
+        doc = whole.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[i]
+        h = whole.column("h").to_numpy()[i]
+        o = np.lexsort((first, h, doc))
+        i, first, doc, h = i[o], first[o], doc[o], h[o]
+        on = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (first[1:] <= first[:-1] + 1) & ~edge[i[1:]] & ~edge[i[:-1]]
+        begin = np.flatnonzero(np.insert(~on, 0, True)) if len(i) else np.zeros(0, np.int64)
+        return i[begin], first[np.append(begin[1:], len(i)) - 1] if len(i) else first
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -173,32 +188,38 @@ def repeats(stored: DataFrame, rows: int, tokens: list[str], depths: list[int])
                 edge = np.zeros(n, bool)
                 edge[: size[0]] = edge[n - size[-1] :] = True
                 flags[-depth] = edge
-        one = np.insert(~same, 0, True)
+        flags[0] = np.insert(~same, 0, True)
         keep = flags[depths[0]] | flags[-depths[0]]
-        out = whole.take(pa.array(order[keep]))
-        bucket = TaskContext.get().partitionId()
-        cols = [*[out.column(i).combine_chunks() for i in range(width)], *[pa.array(flags[d][keep]) for d in depths], *[pa.array(flags[-d][keep]) for d in depths], pa.array(one[keep]), pa.array(np.zeros(int(keep.sum()), np.int32)), pa.array(np.zeros(int(keep.sum()), np.int64))]
-        told = pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=full)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        chosen, last = folded(whole, keep[back], flags[-depths[0]][back]) if fold else (order[keep], None)
+        out, place = whole.take(pa.array(chosen)), back[chosen]
+        m = len(chosen)
+        cols = [out.column(i).combine_chunks() for i in range(width)]
+        cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+        cols += [pa.array(flags[d][place]) for d in depths] + [pa.array(flags[-d][place]) for d in depths] + [pa.array(flags[0][place])]
+        cols += [pa.array(last)] if fold else []
+        told = pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64))], names=full)
         yield told
-        kinds = told.schema
-        blank = [pa.nulls(len(edges), kinds.field(i).type) for i in range(len(full))]
+        blank = [pa.nulls(len(edges), told.schema.field(i).type) for i in range(len(full))]
         for d, k in enumerate(at):
             blank[k] = pa.array([e[1 + d] for e in edges], pa.int64())
         blank[-2] = pa.array([e[0] for e in edges], pa.int32())
         blank[-1] = pa.array([e[-1] for e in edges], pa.int64())
-        blank[width] = pa.array([bucket % 2 == 0] * len(edges))
         yield pa.RecordBatch.from_arrays(blank, names=full)
 
-    full = [*names, *[f"r{d}" for d in depths], *[f"e{d}" for d in depths], "one", "depth", "n"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in stored.schema.fields] + [f"r{d} boolean" for d in depths] + [f"e{d} boolean" for d in depths] + ["one boolean", "depth int", "n bigint"])
-    found = cut(stored.repartitionByRange(parts, *tokens, *spread).mapInArrow(run, schema))
+    extra = ["last"] if fold else []
+    full = [*names, *[f"r{d}" for d in depths], *[f"e{d}" for d in depths], "one", *extra, "depth", "n"]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields] + [f"r{d} boolean" for d in depths] + [f"e{d} boolean" for d in depths] + ["one boolean"] + [f"{c} bigint" for c in extra] + ["depth int, n bigint"])
+    stored = Stored(table.repartitionByRange(parts, *tokens, *spread).mapInArrow(run, schema), "repeats")
+    found = stored.read()
     out = found.filter("depth = 0").drop("depth", "n")
     for d in depths:
         mine = tokens[:d]
         runs = found.filter(F.col("depth") == d).groupBy(*mine).agg(F.count("*").alias("runs"), F.sum("n").alias("n"))
-        over = runs.filter("runs > 1 AND n > 1").select(*mine, F.lit(True).alias("over"))  # two rows a bucket at most
+        over = cut(runs.filter("runs > 1 AND n > 1").select(*mine, F.lit(True).alias("over")))  # two rows a bucket at most
         out = out.join(broadcast_if_small(over), mine, "left").withColumn(f"r{d}", F.col(f"r{d}") | (F.col(f"e{d}") & F.coalesce("over", F.lit(False)))).drop("over")
-    return out.filter(F.col(f"r{depths[0]}")).select(*names, *[f"r{d}" for d in depths], "one", *[f"e{d}" for d in depths])
+    return out.filter(F.col(f"r{depths[0]}")).select(*names, *[f"r{d}" for d in depths], "one", *extra), stored
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -230,13 +251,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     table = Stored(rows.mapInArrow(suffixes, f"lead bigint, right_ bigint, left_ bigint, doc_id {kind}, h bigint, first bigint, last bigint"), "suffixes")
-    found = repeats(table.read(), table.read().count(), ["lead", "right_", "left_"], [1, 3])
-    found = cut(found)
+    found, kept = repeats(table.read(), table.read().count(), ["lead", "right_", "left_"], [1, 3])
     table.drop()
-    sure = found.filter("r3").select("doc_id", "h", F.struct(F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b")).alias("span"))
+    sure = found.filter("r3").groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))).alias("spans"))
 
     # Where surroundings differ: each string of these suffixes, and of one suffix of each class beside them.
-    unclear = found.filter("NOT r3 OR one").select("doc_id", "h", F.struct("lead", "first", "last").alias("s")).groupBy("doc_id", "h").agg(F.collect_set("s").alias("s"))
+    unclear = cut(found.filter("NOT r3 OR one").select("doc_id", "h", F.struct("lead", "first", "last").alias("s")).groupBy("doc_id", "h").agg(F.collect_set("s").alias("s"), F.sum(F.expr("s.last - s.first + 1")).alias("n")))
+    number = unclear.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     texts = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
     asked = unclear.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "text", F.col("s.lead").alias("lead"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
 
@@ -257,16 +278,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         names=["lead", "string", "doc_id", "h", "first"],
                     )
 
-    table = Stored(asked.mapInArrow(strings, f"lead bigint, string bigint, doc_id {kind}, h bigint, first bigint"), "strings")
-    more = cut(repeats(table.read(), table.read().count(), ["lead", "string"], [2]))
-    table.drop()
-    more = more.select("doc_id", "h", F.struct(F.col("first").alias("a"), (F.col("first") + LENGTH).alias("b")).alias("span"))
-    return sure.unionByName(more).groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
+    each = asked.mapInArrow(strings, f"lead bigint, string bigint, doc_id {kind}, h bigint, first bigint")
+    more, strings_kept = repeats(each, number, ["lead", "string"], [2], fold=True)
+    more = more.groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))).alias("spans"))
+    done = cut(sure.unionByName(more).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    kept.drop()
+    strings_kept.drop()
+    return done
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_bytes also kept (the bytes) and spans."""
-    spans = cut(repeated_spans(docs, id_col, text_col)).toDF("d", "g", "spans")
+    spans = repeated_spans(docs, id_col, text_col).toDF("d", "g", "spans")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
