@@ -10,6 +10,7 @@ from quernel.functions import vector as V
 from quernel.operators import chats, chunking, corpus, dense, hybrid, lexical, manifest, vectors
 from quernel.plans import fixtures as X
 from quernel.plans import sql as S
+from quernel.runtime import cut
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -41,8 +42,9 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cut = passages(spark, sf_dir)
-    return lexical.postings(cut), lexical.corpus_stats(cut)
+    """Postings and statistics, each computed once, as Engine.reindex() would write them."""
+    made = cut(passages(spark, sf_dir))
+    return cut(lexical.postings(made)), lexical.corpus_stats(made)
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +184,7 @@ _HYBRID = f"{_FUSED}, {S.cap('SELECT * FROM fused', 20)}"
 
 
 def _hybrid(spark, sf_dir):
-    cut = passages(spark, sf_dir)
-    return hybrid.search_batch(asked(spark), lexical.postings(cut), lexical.corpus_stats(cut), 20, query_vector(spark, sf_dir), embedded(spark, sf_dir), _base(spark, sf_dir), DIM)
+    return hybrid.search_batch(asked(spark), *index(spark, sf_dir), 20, query_vector(spark, sf_dir), embedded(spark, sf_dir), _base(spark, sf_dir), DIM)
 
 
 @query(f"WITH {_HYBRID} SELECT rank, doc_id, chunk_no, round(fused, 9) AS score, via, round(cosine, 6) AS cosine FROM capped")
@@ -340,14 +341,14 @@ def drive(spark):
     return _values(spark, X.FILES, "dir string, file string, bytes bigint, sha256 string")
 
 
-@query(f"WITH {S.LOCK} SELECT kind, repo, rev, file, bytes, sha256, profile FROM lock")
+@query(f"WITH {S.LOCK} SELECT kind, repo, rev, file, coalesce(bytes, -1) AS bytes, sha256, coalesce(profile, -1) AS profile FROM lock")
 def lock_scan(spark, sf_dir):
-    return lock(spark)
+    return lock(spark).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("bytes", "profile")})
 
 
 @query(f"WITH {S.LOCK}, {S.FILES} {S.VERIFY}")
 def verify_status(spark, sf_dir):
-    return manifest.verify(lock(spark), drive(spark), check_sha=True)
+    return manifest.verify(lock(spark), drive(spark), check_sha=True).withColumn("percent", F.coalesce("percent", F.lit(-1)))
 
 
 @query(f"WITH {S.LOCK}, {S.FILES} SELECT dir, file, bytes FROM files WHERE dir IN ('models', 'embed') AND file LIKE '%.gguf' AND file NOT IN (SELECT file FROM lock WHERE kind IN ('model', 'embed'))")
@@ -355,7 +356,7 @@ def unpinned_files(spark, sf_dir):
     return manifest.unpinned(lock(spark), drive(spark))
 
 
-@query(f"WITH {S.LOCK}, {S.FILES}, v AS ({S.VERIFY}) SELECT count_if(status = 'OK') AS ok, count_if(status NOT IN ('OK', 'MISSING')) AS bad, count_if(status = 'MISSING') AS missing, CAST(1 AS BIGINT) AS unpinned FROM v")
+@query(f"WITH {S.LOCK}, {S.FILES}, v AS ({S.VERIFY}) SELECT CAST(count_if(status = 'OK') AS BIGINT) AS ok, CAST(count_if(status NOT IN ('OK', 'MISSING')) AS BIGINT) AS bad, CAST(count_if(status = 'MISSING') AS BIGINT) AS missing, CAST(1 AS BIGINT) AS unpinned FROM v")
 def verify_counters(spark, sf_dir):
     return manifest.counters(manifest.verify(lock(spark), drive(spark), check_sha=True), manifest.unpinned(lock(spark), drive(spark)))
 
@@ -370,7 +371,7 @@ def profile_sizes(spark, sf_dir):
     return manifest.profile_sizes(lock(spark))
 
 
-@query(f"WITH {S.LOCK}, p AS (SELECT DISTINCT profile FROM lock WHERE profile IS NOT NULL), s AS (SELECT profile, (SELECT sum(bytes) FROM lock l WHERE kind IN ('model', 'embed') AND coalesce(l.profile, 0) <= p.profile) AS bytes FROM p) SELECT max(profile) AS profile FROM s WHERE bytes <= {X.DRIVE_BYTES} - greatest(8 * 1073741824, {X.DRIVE_BYTES} // 10)")
+@query(f"WITH {S.LOCK}, p AS (SELECT DISTINCT profile FROM lock WHERE profile IS NOT NULL), s AS (SELECT profile, (SELECT sum(bytes) FROM lock l WHERE kind IN ('model', 'embed') AND coalesce(l.profile, 0) <= p.profile) AS bytes FROM p) SELECT max(profile) AS profile FROM s WHERE bytes <= {X.DRIVE_BYTES} - greatest(8589934592, {X.DRIVE_BYTES} // 10)")
 def profile_fit(spark, sf_dir):
     return manifest.largest_profile(lock(spark), X.DRIVE_BYTES)
 
@@ -380,7 +381,7 @@ def complete_profile(spark, sf_dir):
     return manifest.complete_profile(lock(spark), drive(spark))
 
 
-@query(f"WITH {S.MODELS}, f AS (SELECT *, sum(bytes) OVER (ORDER BY bytes DESC, id) AS run FROM models WHERE NOT regexp_matches(id, '-\\d{{5}}-of-\\d{{5}}$') AND bytes <= {X.BUDGET}) SELECT count(*) AS fitting, greatest(1, count_if(run <= {X.BUDGET})) AS models_max FROM f")
+@query(f"WITH {S.MODELS}, f AS (SELECT *, sum(bytes) OVER (ORDER BY bytes DESC, id) AS run FROM models WHERE NOT regexp_matches(id, '-\\d{{5}}-of-\\d{{5}}$') AND bytes <= {X.BUDGET}) SELECT count(*) AS fitting, CAST(greatest(1, count_if(run <= {X.BUDGET})) AS BIGINT) AS models_max FROM f")
 def models_max(spark, sf_dir):
     return manifest.packing(_values(spark, X.MODELS, "id string, bytes bigint").filter("bytes IS NOT NULL").withColumnRenamed("id", "name"), X.BUDGET)
 
@@ -388,7 +389,7 @@ def models_max(spark, sf_dir):
 @query(S.RAM)
 def ram_budget(spark, sf_dir):
     rows = _values(spark, X.RAM, "ram bigint, encoder bigint")
-    return rows.select("ram", "encoder", manifest.budget(F.col("ram"), F.col("encoder")).cast("bigint").alias("budget"))
+    return rows.select("ram", F.coalesce("encoder", F.lit(0)).alias("encoder"), manifest.budget(F.col("ram"), F.col("encoder")).cast("bigint").alias("budget"))
 
 
 @query(S.PICKER)

@@ -112,9 +112,9 @@ lock AS (SELECT p[1] AS kind, CASE WHEN p[1] IN ('model', 'embed') THEN p[2] WHE
 FILES = values("files", "dir, file, bytes, sha256", X.FILES)
 DIR = "CASE l.kind WHEN 'embed' THEN 'embed' WHEN 'binary' THEN 'bin' ELSE 'models' END"
 VERIFY = f"""SELECT l.file, l.kind, CASE WHEN f.bytes IS NULL THEN 'MISSING' WHEN f.bytes < l.bytes THEN 'INCOMPLETE' WHEN f.bytes > l.bytes THEN 'TOO LARGE' WHEN f.sha256 <> l.sha256 THEN 'SHA MISMATCH' ELSE 'OK' END AS status,
-  CAST(f.bytes * 100 // l.bytes AS BIGINT) AS percent FROM lock l LEFT JOIN files f ON f.dir = {DIR} AND f.file = l.file WHERE l.kind IN ('model', 'embed', 'binary')"""
+  coalesce(CAST(f.bytes * 100 // l.bytes AS BIGINT), -1) AS percent FROM lock l LEFT JOIN files f ON f.dir = {DIR} AND f.file = l.file WHERE l.kind IN ('model', 'embed', 'binary')"""
 MODELS = values("models", "id, bytes", X.MODELS)
-RAM = "WITH " + values("r", "ram, encoder", X.RAM) + ", b AS (SELECT *, least(CAST(ram AS BIGINT) * 7 // 10, ram - 4 * 1073741824) AS least FROM r) SELECT ram, encoder, CASE WHEN encoder IS NOT NULL AND least - encoder > 0 THEN least - encoder ELSE least END AS budget FROM b"
+RAM = "WITH " + values("r", "ram, encoder", X.RAM) + ", b AS (SELECT *, least(CAST(ram AS BIGINT) * 7 // 10, ram - 4294967296) AS least FROM r) SELECT ram, coalesce(encoder, 0) AS encoder, CAST(CASE WHEN encoder IS NOT NULL AND least - encoder > 0 THEN least - encoder ELSE least END AS BIGINT) AS budget FROM b"
 PICKER = (
     f"WITH {MODELS}, "
     + r"""m AS (SELECT id, bytes, regexp_matches(id, '-\d{5}-of-\d{5}$') AS part, list_max(list_transform(regexp_extract_all(id, '(?i)(\d+(?:\.\d+)?)\s*B\b', 1), lambda x: CAST(x AS DOUBLE))) AS params FROM models),

@@ -39,7 +39,7 @@ def parse_chats(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A last line without its line end is dropped, blank and malformed lines are skipped; the first line that
     isn't blank is the header if it has v > 0, else a message like the others; a message has a role."""
-    whole = F.regexp_replace("all", r"[^\n]*\z", "")
+    whole = F.expr("left(all, length(all) - length(substring_index(all, '\n', -1)))")
     lines = files.select("stem", "updated", F.posexplode(F.filter(F.split(whole, "\n"), lambda x: ~is_blank(x))).alias("at", "line")).withColumn("j", F.try_parse_json("line"))
     get = lambda k, t: F.try_variant_get("j", f"$.{k}", t)
     is_header = (F.col("at") == 0) & (F.coalesce(get("v", "int"), F.lit(0)) > 0)
