@@ -24,7 +24,7 @@ from quernel.llm.skew import skew_join
 from quernel.runtime import cut
 
 SHARDS = 16
-ROUNDS = 6
+ROUNDS = 12
 #: Moves between two shards are let in by slices of the hash of their text.
 SLICES = 256
 #: How far a shard may rise over its share while labels move.
