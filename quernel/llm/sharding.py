@@ -5,8 +5,8 @@ number. Rows of one text that share a start are one chunk, so a text has at most
 rows it has. In each round, as joins and grouped sums over chunks, every text votes for the shard that holds
 most of its rows, chunks elsewhere ask to move there, and moves are let in under quotas: what two shards
 exchange with each other, plus the room that a shard has left below its capacity. Texts that hold more than a
-quarter of a shard stay spread; packing them would only move the cut. At the end surplus rows go, unlinked
-ones first, from shards above their share to those below it, which makes counts at most one apart.
+quarter of a shard stay spread; packing them would only move the cut. At the end surplus rows go, those without
+links and those of spread texts first, from shards above their share to those below it, which makes counts at most one apart.
 
 The law is `rows`. The driver sees SHARDS loads and SHARDS^2 * SLICES flows at most, whatever the input.
 
@@ -28,7 +28,7 @@ ROUNDS = 12
 #: Moves between two shards are let in by slices of the hash of their text.
 SLICES = 256
 #: How far a shard may rise over its share while labels move.
-SLACK = 0.02
+SLACK = 0.1
 #: Rows of a shard that are numbered together.
 NUMBERED = 2048
 
@@ -67,14 +67,20 @@ def quotas(flows: np.ndarray, loads: np.ndarray, capacity: float) -> np.ndarray:
     return (flows.cumsum(axis=2) <= quota[:, :, None]).sum(axis=2)
 
 
+def most_rows(rows: float, shards: int) -> int:
+    """Rows of a text that still moves as one."""
+    return int(np.ceil(rows / shards) * (1 + SLACK) / 4)
+
+
 def propagate(chunks: DataFrame, loads: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
     """chunks (digest, chunk, label, n, total) with the labels after the last round."""
     shards, rows = len(loads), loads.sum()
     capacity = np.ceil(rows / shards) * (1 + SLACK)
+    most = most_rows(rows, shards)
     piece = F.pmod(F.xxhash64("digest", "start"), F.lit(SLICES)).cast("int")
     for _ in range(rounds):
         asking = cut(_votes(chunks).withColumn("piece", piece))
-        movers = asking.filter((F.col("label") != F.col("to")) & (F.col("total") <= int(capacity / 4)))
+        movers = asking.filter((F.col("label") != F.col("to")) & (F.col("total") <= most))
         flows = np.zeros((shards, shards, SLICES))
         for r in movers.groupBy("label", "to", "piece").agg(F.sum("n").alias("n")).collect():  # shards^2 * SLICES rows at most
             flows[r["label"], r["to"], r["piece"]] = r["n"]
@@ -84,7 +90,7 @@ def propagate(chunks: DataFrame, loads: np.ndarray, rounds: int = ROUNDS) -> Dat
             return asking.select(chunks.columns)
         loads += moved.sum(axis=0) - moved.sum(axis=1)
         bound = F.array(*[F.lit(int(x)) for x in let_in.ravel()])
-        goes = (F.col("total") <= int(capacity / 4)) & (F.col("piece") < F.element_at(bound, F.col("label") * shards + F.col("to") + 1))
+        goes = (F.col("total") <= most) & (F.col("piece") < F.element_at(bound, F.col("label") * shards + F.col("to") + 1))
         chunks = asking.withColumn("label", F.when(goes, F.col("to")).otherwise(F.col("label"))).select(chunks.columns)
     return cut(chunks)
 
@@ -122,6 +128,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     each = rows.groupBy("digest", "start", "chunk").agg(F.count("*").alias("n"))
     each = each.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).filter("total > 1").withColumn("label", F.col("start"))
     moved = propagate(cut(each.select("digest", "start", "chunk", "label", "n", "total")), loads, rounds)
-    placed = cut(skew_join(rows, moved.select("chunk", "label", F.lit(True).alias("linked")), "chunk").select("doc_id", "size", "text_crc32", "rid", F.coalesce("label", "start").alias("label"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    placed = cut(skew_join(rows, moved.select("chunk", "label", (F.col("total") <= most_rows(total, shards)).alias("linked")), "chunk").select("doc_id", "size", "text_crc32", "rid", F.coalesce("label", "start").alias("label"), F.coalesce("linked", F.lit(False)).alias("linked")))
     done = even_out(placed, shards, total)
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
