@@ -162,6 +162,24 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
+def common_words(table: DataFrame, most: int = FREQUENT) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words and their counts, at most `most`, by count and then by spelling.
+
+    A histogram of the counts gives the bound from which on words are few enough; only these are collected."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 1024)
+    bars = sorted(((r["s"], r["n"]) for r in table.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 64 * 1024 rows at most
+    room, bound = most, None
+    for s, n in bars:
+        room -= n
+        if room < 0:
+            break
+        bound = s
+    if bound is None:
+        return [], np.zeros(0)
+    rows = sorted(((-r["c"], bytes(r["word"])) for r in table.filter(step >= bound).collect()))
+    return [w for _, w in rows], np.array([-c for c, _ in rows], float)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
@@ -172,8 +190,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     table = Stored(word_counts(train), "words").read()
     known = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(known["n"]), int(known["v"])
-    common = table.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()  # FREQUENT rows at most
-    words, counts = [bytes(w) for w in common["word"]], common["c"].to_numpy(float)
+    words, counts = common_words(table)
 
     tops = list(dict.fromkeys([END, *words[: TOP - 1]]))[:TOP]
     top = {w: i for i, w in enumerate(tops)}
