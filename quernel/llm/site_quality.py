@@ -101,7 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Evidence:
     """The text model from at most `train` labelled documents, chosen by a hash of the id."""
     spark = docs.sparkSession
     order = F.xxhash64("doc_id")
-    chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), order.alias("o")).orderBy("o").limit(train)
+    marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    share = min(1.0, 2 * train / max(1, marked.count()))  # no task sorts more than about twice the sample
+    below = -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+    chosen = marked.filter(order <= F.lit(below)).select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), order.alias("o")).orderBy("o").limit(train)
     rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "good", (F.pmod("o", F.lit(2)) == 0).alias("half")))
     counts = {(r["half"], r["good"]): r["n"] for r in rows.groupBy("half", "good").agg(F.count("*").alias("n")).collect()}
     if any(not counts.get((h, g)) for h in (True, False) for g in (True, False)):
