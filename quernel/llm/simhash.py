@@ -290,3 +290,203 @@ def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         side = broadcast_if_small(again)
         out = out.join(side, on, "left_anti").unionByName(out.join(side, on, "left_semi").dropDuplicates([id_col, h]))
     return out.drop(h)
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text, as uint64."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    hash_ = xxhash.xxh64_intdigest
+    return np.unique(np.array([hash_(b" ".join(x), 42) for x in zip(*[w[k:] for k in range(words)])] or [hash_(b" ".join(w), 42)], np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TABLES bucket keys, each of DRAWN min-wise hashes, and the SimHash of LONG words of a set of shingles."""
+    drawn = np.full(TABLES * DRAWN, np.iinfo(np.uint64).max)
+    bits = np.zeros(LONG * 64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096]
+        drawn = np.minimum(drawn, ((h[:, None] ^ _XOR) * _ODD).min(axis=0))
+        wide = np.stack([h, *[_mixed(h + np.uint64(k)) for k in range(1, LONG)]], axis=1)
+        bits += np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    keys = np.arange(TABLES, dtype=np.uint64)
+    for k in range(DRAWN):
+        keys = _mixed(keys ^ drawn[k::DRAWN])
+    return keys, np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of MurmurHash3."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+#: Near copies by similarity: two texts of similarity s meet in a table with probability s ** DRAWN, so pairs of
+#: 0.8 miss all tables once in 40,000. Their SimHashes of 128 bits differ in 19 bits on average, by 4 either way.
+SIMILAR = 0.8
+TABLES, DRAWN = 20, 4
+LONG, RADIUS = 2, 36
+_XOR = _mixed(np.arange(1, TABLES * DRAWN + 1, dtype=np.uint64))
+_ODD = _mixed(_XOR) | np.uint64(1)
+
+
+def forest(prints: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of entries within RADIUS that span the graph of all such pairs. prints: n rows of LONG words.
+
+    Neighbours in Gray order are joined first, in several orders; then what isn't in the largest tree meets all others."""
+    n = len(prints)
+    above, out = list(range(n)), []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = top(a), top(b)
+            if x != y:
+                out.append((a, b))
+                above[max(x, y)] = min(x, y)
+
+    apart = lambda a, b: np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    if n > 64:
+        for k in range(LONG):
+            order = np.argsort(gray_rank(prints[:, k]), kind="stable")
+            near = apart(prints[order[1:]], prints[order[:-1]]) <= RADIUS
+            join(order[:-1][near], order[1:][near])
+    label = np.array([top(x) for x in range(n)])
+    values, sizes = np.unique(label, return_counts=True)
+    for i in np.flatnonzero(label != values[np.argmax(sizes)]).tolist():
+        j = np.flatnonzero((apart(prints, prints[i]) <= RADIUS) & (label != label[i]))
+        join(np.full(len(j), i), j)
+    return out
+
+
+def candidates(sketches: DataFrame) -> DataFrame:
+    """Edges (u, v) that span the pairs which share a bucket and whose SimHashes are within RADIUS. sketches: node, keys, long."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def solve(key, node, prints):
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(begins, len(key)))
+            many = sizes > 1
+            pairs = [(b + i, b + j) for b, s in zip(begins[many].tolist(), sizes[many].tolist()) for i, j in forest(prints[b : b + s])]
+            if pairs:
+                at = np.array(pairs)
+                u, v = node[at[:, 0]], node[at[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            prints = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(LONG)], axis=1)
+            if held and held[-1][0][-1] != key[-1]:
+                key, node, prints = (np.concatenate([h[k] for h in held] + [x]) for k, x in enumerate((key, node, prints)))
+                held = []
+            last = key == key[-1]
+            if not held and not last.all():
+                yield from solve(key[~last], node[~last], prints[~last])
+            held.append((key[last], node[last], prints[last]))
+        if held:
+            yield from solve(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+
+    rows = sketches.select(F.explode("keys").alias("key"), "node", *[F.col("long")[k].alias(f"p{k}") for k in range(LONG)])
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _resolve(batches):
+    """Sorted rows (piece, node, root, long, shingles) -> the links of similarity SIMILAR at least between roots of a piece."""
+
+    def solve(rows):
+        size = np.array([len(r["shingles"]) for r in rows])
+        begins = np.cumsum(size) - size
+        kinds, flat = np.unique(np.concatenate([np.array(r["shingles"], np.int64) for r in rows]), return_inverse=True)
+        names, label = np.unique([r["root"] for r in rows], return_inverse=True)
+        mine = np.zeros(len(kinds), np.int64)
+        for i in range(len(rows) - 1):
+            own = flat[begins[i] : begins[i] + size[i]]
+            mine[own] = 1
+            both = np.add.reduceat(mine[flat[begins[i + 1] :]], begins[i + 1 :] - begins[i + 1])
+            mine[own] = 0
+            for j in (i + 1 + np.flatnonzero((both >= SIMILAR * (size[i] + size[i + 1 :] - both)) & (label[i + 1 :] != label[i]))).tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    yield rows[i]["node"], rows[j]["node"]
+
+    def told(rows):
+        found = list(solve(rows))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and held[0]["piece"] != r["piece"]:
+                yield from told(held)
+                held = []
+            held.append(r)
+    if held:
+        yield from told(held)
+
+
+def similar(texts: DataFrame, words: int) -> DataFrame:
+    """node and root for the texts that are linked with another by similarity SIMILAR at least. texts: node (hash of the text), text."""
+    ship_package(texts.sparkSession)
+
+    def sketched(batches):
+        for batch in batches:
+            made = [sketch(shingles(t or b"", words)) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([m[k].view(np.int64) for m in made], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "keys", "long"])
+
+    def listed(batches):
+        for batch in batches:
+            made = [shingles(t or b"", words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = texts.select("node", F.col("text").cast("binary").alias("text"))
+    sketches = cut(texts.mapInArrow(sketched, "node bigint, keys array<bigint>, long array<bigint>").dropDuplicates(["node"]))
+    edges = cut(candidates(sketches))
+    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    sets = cut(texts.join(broadcast_if_small(ends), "node", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    pairs = edges.join(side("u"), "u").join(side("v"), "v").select("u", "v", both.alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
+    told = cut(pairs.select("u", "v", (F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).alias("good")))
+    good = told.filter("good").select("u", "v")
+    if told.filter(~F.col("good")).isEmpty():
+        return components(good)
+    # where a spanning edge fails, another pair of its piece may still join the two sides
+    root = components(good)
+    piece = components(edges).select("node", F.col("root").alias("piece"))
+    parts_of = cut(piece.join(root, "node", "left").select("node", "piece", F.coalesce("root", "node").alias("root")))
+    open_ = parts_of.groupBy("piece").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("piece")
+    rows = parts_of.join(open_, "piece", "left_semi").join(sets, "node").join(sketches.select("node", "long"), "node").select("piece", "node", "root", "long", "shingles")
+    more = cut(rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_resolve, "u bigint, v bigint"))
+    return components(good.unionByName(more))
+
+
+def keep_least_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """docs with one row of each group of similar or equal texts, that of the least doc_id (and hash of the text); same columns."""
+    h, i, g = fresh(docs, "q_hash"), fresh(docs, "q_id"), fresh(docs, "q_of")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    each = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), key.alias("h")).alias("doc_id"), key.alias("node"))
+    first = cut(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    root = similar(docs.select(key.alias("node"), F.col(text_col).alias("text")), words)
+    of = cut(first.join(root, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
+    least = of.groupBy("root").agg(F.min("first").alias("least"))
+    stays = cut(of.join(least, "root").select("node", "first", "n", (F.col("first") == F.col("least")).alias("stays")))
+    lost = stays.filter(~F.col("stays")).select(F.col("node").alias(g))
+    out = docs.withColumn(h, key).join(broadcast_if_small(lost), F.col(h) == F.col(g), "left_anti")
+    again = cut(stays.filter("stays AND n > 1").select(F.col("first.i").alias(i), F.col("node").alias(g)))
+    if not again.isEmpty():  # of equal texts one row stays
+        side = broadcast_if_small(again)
+        kept = out.join(side, (F.col(h) == F.col(g)) & F.col(id_col).eqNullSafe(F.col(i)), "left_semi").dropDuplicates([h])
+        out = out.join(side.select(g), F.col(h) == F.col(g), "left_anti").unionByName(kept)
+    return out.drop(h)

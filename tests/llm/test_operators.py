@@ -265,3 +265,29 @@ def test_pipeline_stages_keep_columns(spark):
     assert names == ["quality", "exact_dedup", "simhash_dedup", "decontaminate", "bpe"]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns[: len(docs.columns)] == docs.columns and 0 < got.count() < docs.count()
+
+
+def test_near_copies_by_similarity(spark):
+    draw = random.Random(5)
+    word = lambda: "w" + str(draw.randrange(3000))
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        far = list(base)
+        for at in draw.sample(range(200), k % 7):  # similarity about 0.75 to 1
+            far[at] = word()
+        rows += [" ".join(base), " ".join(far)]
+    rows += ["", "one two", "One  two", " ".join(word() for _ in range(12))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()} for w in (t.lower().split() for t in rows)]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                part = [part[b] if x == part[a] else x for x in part]
+    want = {min(i for i in range(len(rows)) if part[i] == p) for p in set(part)}
+    assert 40 < len(rows) - len(want) < 61
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near(spark, docs.unionByName(docs.limit(3)), "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
