@@ -4,9 +4,10 @@ Documents with equal texts are linked through their text. Every row starts at a
 number. Rows of one text that share a start are one chunk, so a text has at most SHARDS chunks however many
 rows it has. In each round, as joins and grouped sums over chunks, every text votes for the shard that holds
 most of its rows, chunks elsewhere ask to move there, and moves are let in under quotas: what two shards
-exchange with each other, plus the room that a shard has left below its capacity. Texts that hold more than a
-quarter of a shard stay spread; packing them would only move the cut. At the end surplus rows go, those without
-links and those of spread texts first, from shards above their share to those below it, which makes counts at most one apart.
+exchange with each other, plus the room that a shard has left below its capacity. A text that holds more than a
+quarter of a shard gets a home whole before the others move; one of more rows than a shard first falls into the
+least number of pieces that fit. At the end surplus rows go, those without links first and those of large texts
+last, from shards above their share to those below it, which makes counts at most one apart.
 
 The law is `rows`. The driver sees SHARDS loads and SHARDS^2 * SLICES flows at most, whatever the input.
 
@@ -68,15 +69,57 @@ def quotas(flows: np.ndarray, loads: np.ndarray, capacity: float) -> np.ndarray:
 
 
 def most_rows(rows: float, shards: int) -> int:
-    """Rows of a text that still moves as one."""
+    """Rows of a text beyond which it gets its home before the others move."""
     return int(np.ceil(rows / shards) * (1 + SLACK) / 4)
 
 
-def propagate(chunks: DataFrame, loads: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """chunks (digest, chunk, label, n, total) with the labels after the last round."""
-    shards, rows = len(loads), loads.sum()
-    capacity = np.ceil(rows / shards) * (1 + SLACK)
-    most = most_rows(rows, shards)
+def _pieces(rows: DataFrame, sizes: dict[bytes, int], share: int) -> DataFrame:
+    """rows where a text of more rows than share falls into pieces of equal size, as few as fit, each with a digest of its own."""
+    if not sizes:
+        return rows
+    n, most = F.lit(0), max(sizes.values())
+    for d, c in sizes.items():  # fewer than shards
+        n = F.when(F.col("digest") == F.lit(d), c).otherwise(n)
+    wide = rows.withColumn("of", n).withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(max(1, most // NUMBERED))))
+    hot = wide.filter("of > 0")
+    before = Window.partitionBy("digest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hot.groupBy("digest", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    at = F.col("before") + F.row_number().over(Window.partitionBy("digest", "bucket").orderBy("rid")) - 1
+    number = F.floor(at * F.ceil(F.col("of") / share) / F.col("of"))
+    cut_up = hot.join(F.broadcast(cut(offsets)), ["digest", "bucket"]).withColumn("digest", F.concat("digest", F.unhex(F.lpad(F.hex(number), 4, "0"))))
+    cut_up = cut_up.withColumn("chunk", F.concat("digest", F.unhex(F.lpad(F.hex("start"), 4, "0"))))
+    return cut(wide.filter("of = 0").select(rows.columns).unionByName(cut_up.select(rows.columns)))
+
+
+def _homes(big: list[tuple[bytes, int]], shards: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """A shard for each large text or piece, the largest first, each where least is taken; and the rows taken."""
+    homes, taken = {}, np.zeros(shards)
+    for d, n in sorted(big, key=lambda x: (-x[1], x[0])):
+        homes[d] = int(np.argmin(taken))
+        taken[homes[d]] += n
+    return homes, taken
+
+
+def _started(each: DataFrame, homes: dict[bytes, int], taken: np.ndarray, share: int) -> DataFrame:
+    """Chunks with their first label: the home of a large text; others are drawn by the room that is left."""
+    if not homes:
+        return cut(each.withColumn("label", F.col("start")))
+    room = np.maximum(0.0, share - taken)
+    bounds = np.floor(room.cumsum() / max(room.sum(), 1.0) * (1 << 16))
+    drawn = F.pmod(F.xxhash64("digest", "start", F.lit(7)), F.lit(1 << 16))
+    label = sum((F.when(drawn >= int(x), 1).otherwise(0) for x in bounds[:-1]), F.lit(0)) if room.sum() else F.col("start")
+    home = each.sparkSession.createDataFrame([(bytearray(d), s) for d, s in homes.items()], "digest binary, home int")
+    return cut(each.join(F.broadcast(home), "digest", "left").withColumn("label", F.coalesce("home", label).cast("int")).drop("home"))
+
+
+def propagate(chunks: DataFrame, shards: int, rows: int, most: int, rounds: int = ROUNDS) -> DataFrame:
+    """chunks (digest, start, chunk, label, n, total) with the labels after the last round.
+
+    Only linked rows count as load: rows without links make way when the shards are evened out."""
+    loads = np.zeros(shards)
+    for r in chunks.groupBy("label").agg(F.sum("n").alias("n")).collect():  # one row for each shard
+        loads[r["label"]] = r["n"]
+    capacity = max(np.ceil(rows / shards), loads.sum() / shards * (1 + SLACK))
     piece = F.pmod(F.xxhash64("digest", "start"), F.lit(SLICES)).cast("int")
     for _ in range(rounds):
         asking = cut(_votes(chunks).withColumn("piece", piece))
@@ -96,9 +139,9 @@ def propagate(chunks: DataFrame, loads: np.ndarray, rounds: int = ROUNDS) -> Dat
 
 
 def even_out(placed: DataFrame, shards: int, rows: int) -> DataFrame:
-    """placed (label, linked, rid, ...) with shard and slot; counts are at most one apart."""
+    """placed (label, late, rid, ...) with shard and slot; counts are at most one apart."""
     buckets = max(1, rows // (shards * NUMBERED))
-    placed = placed.withColumn("late", F.when(F.col("linked"), 0).otherwise(1)).withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
     counts = cut(placed.groupBy("label", "late", "bucket").agg(F.count("*").alias("n")))
     loads = np.zeros(shards, np.int64)
     for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect():  # one row for each shard
@@ -123,11 +166,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs."""
     rows = _narrow(docs, id_col, text_col, shards)
     starts = {r["start"]: r["n"] for r in rows.groupBy("start").agg(F.count("*").alias("n")).collect()}  # one row for each shard
-    loads = np.array([starts.get(s, 0) for s in range(shards)], float)
-    total = int(loads.sum())
+    total = sum(starts.values())
+    share = -(-total // shards)
+    most = max(1, most_rows(total, shards))
+    big = [(bytes(r["digest"]), r["n"]) for r in rows.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > most).collect()]  # 4 * shards rows at most, or half of a small table
+    rows = _pieces(rows, {d: n for d, n in big if n > share}, share)
     each = rows.groupBy("digest", "start", "chunk").agg(F.count("*").alias("n"))
-    each = each.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).filter("total > 1").withColumn("label", F.col("start"))
-    moved = propagate(cut(each.select("digest", "start", "chunk", "label", "n", "total")), loads, rounds)
-    placed = cut(skew_join(rows, moved.select("chunk", "label", (F.col("total") <= most_rows(total, shards)).alias("linked")), "chunk").select("doc_id", "size", "text_crc32", "rid", F.coalesce("label", "start").alias("label"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    each = cut(each.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).filter("total > 1"))
+    first = each.filter(F.col("total") > most).groupBy("digest").agg(F.first("total").alias("n")).collect()  # as many, and shards pieces
+    homes, taken = _homes([(bytes(r["digest"]), r["n"]) for r in first], shards)
+    moved = propagate(_started(each, homes, taken, share).select("digest", "start", "chunk", "label", "n", "total"), shards, total, most, rounds)
+    placed = cut(skew_join(rows, moved.select("chunk", "label", F.when(F.col("total") > most, 0).otherwise(1).alias("late")), "chunk").select("doc_id", "size", "text_crc32", "rid", F.coalesce("label", "start").alias("label"), F.coalesce("late", F.lit(2)).alias("late")))
     done = even_out(placed, shards, total)
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

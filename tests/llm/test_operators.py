@@ -291,3 +291,17 @@ def test_near_copies_by_similarity(spark):
 
     kept = corpus_pipeline.near(spark, docs.unionByName(docs.limit(3)), "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_sharding_keeps_hot_texts_together(spark):
+    text = F.when(F.col("id") < 500, "five").when(F.col("id") < 600, "ten").when(F.col("id") < 1000, F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).otherwise(F.col("id").cast("string"))
+    rows = sharding.shard(spark.range(1600).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
+    assert set(collections.Counter(r.shard for r in rows).values()) == {100}
+    on = lambda lo, hi: len({r.shard for r in rows if lo <= r.doc_id < hi})
+    assert on(500, 600) == 1 and on(0, 500) <= 6
+    few = sharding.shard(spark.range(96).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30, (F.col("id") % 10).cast("string")).otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("text"))).collect()
+    homes = collections.defaultdict(set)
+    for r in few:
+        if r.doc_id < 30:
+            homes[r.doc_id % 10].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())
