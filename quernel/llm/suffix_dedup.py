@@ -14,11 +14,19 @@ Suffixes equal in all tokens repeat all their strings. Where only the lead is re
 differ somewhere: for these, with one suffix of each class, every string of LENGTH bytes is hashed and sorted
 in the same way. What is removed are the bytes under repeated strings.
 
-A string is known by two 64-bit hashes (lead and string) drawn from independent tables of bytes.
+A string is known by two 64-bit hashes: the lead from one table of bytes and base, right, left and string from
+a second one.
+
+Passages: beside the bytes, the same search over words tells which documents share a passage with another one.
+Units are the hashes of words ``[^\\x20\\x09-\\x0D]+``; of any PASSAGE words the anchor is the gram of PASSAGE_GRAM words
+with the least hash, and a document whose anchor's gram is also an anchor in another document shares a passage.
+So all that share PASSAGE words are found, and none that share fewer than PASSAGE_GRAM. Nothing is removed for it: a
+passage may have fewer than LENGTH bytes.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep all bytes; rows that agree in id and
-text are copies of each other; a null doc_id is kept; an empty table gives an empty result; other columns are
-ignored. Texts are read whole; very long ones in overlapping segments, which gives the same result.
+text are copies of each other for the removal and one document for the passages; a null doc_id is kept; an empty
+table gives an empty result; other columns are ignored. Texts are read whole; very long ones in overlapping
+segments, which gives the same result; a word of over SEGMENT bytes counts as several.
 """
 
 from __future__ import annotations
@@ -40,12 +48,14 @@ GRAM = 288
 SEGMENT, POSITION = 1 << 20, 21
 #: Suffixes of a bucket.
 BUCKET = 400_000
+#: Words of a passage and of its grams.
+PASSAGE, PASSAGE_GRAM = 51, 45
 
 
-@lru_cache(1)
-def _tables(size: int):
-    """Random values of bytes, powers of an odd base and of its inverse modulo 2^64."""
-    rng = np.random.default_rng(20_240_607)
+@lru_cache(4)
+def _tables(size: int, which: int):
+    """Random values of bytes, powers of an odd base and of its inverse modulo 2^64; each `which` has its own."""
+    rng = np.random.default_rng(20_240_607 + which)
     values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = int(rng.integers(1 << 60, 1 << 62)) * 8 + 5
     power = np.empty(size + 1, np.uint64)
@@ -63,40 +73,89 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes."""
+    """Hashes of all substrings of some bytes, or of all sequences of some 64-bit values."""
 
-    def __init__(self, data: np.ndarray):
-        values, power, self.back = _tables(SEGMENT + 2 * LENGTH)
+    def __init__(self, data: np.ndarray, which: int):
+        values, power, self.back = _tables(SEGMENT + 2 * LENGTH, which)
         self.sum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * power[: len(data)], out=self.sum[1:])
+        np.cumsum((data if data.dtype == np.uint64 else values[data]) * power[: len(data)], out=self.sum[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sum[end] - self.sum[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray):
-    """Anchors of texts that lie one after the other: text, place, first and last string, and tokens (lead, right, left)."""
-    n = len(data)
-    none = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
-    of = Hashes(data)
-    at = np.arange(n - GRAM + 1)
-    lead = of(at, at + GRAM)
-    least = (lead >> np.uint64(POSITION) << np.uint64(POSITION)) | at.astype(np.uint64)
-    width, want = 1, LENGTH - GRAM + 1
+def _least(lead: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all strings of `length` units that lie in one text, and the place of the gram with the least lead in each."""
+    least = (lead >> np.uint64(POSITION) << np.uint64(POSITION)) | np.arange(len(lead)).astype(np.uint64)
+    width, want = 1, length - gram + 1
     while 2 * width <= want:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < want:
         least = np.minimum(least[: width - want], least[want - width :])
-    valid = np.ones(n - LENGTH + 1, bool)
+    valid = np.ones(len(least), bool)
     for end in offsets[1:].tolist():
-        valid[max(0, end - LENGTH + 1) : end] = False
+        valid[max(0, end - length + 1) : end] = False
     start = np.flatnonzero(valid)
+    return start, (least[start] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of texts that lie one after the other, and where in these hashes each text begins and the last ends."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    black = np.ones(256, bool)
+    black[[0x20, *range(0x09, 0x0E)]] = False  # fixed values: white space
+    word = black[data]
+    opens, shuts = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1]
+    shuts[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    opens[inner] |= word[inner]
+    shuts[inner - 1] |= word[inner - 1]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+    return Hashes(data, 0)(begin, end), np.searchsorted(begin, offsets)
+
+
+def passage_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and lead of each anchor of PASSAGE words in texts that lie one after the other."""
+    if len(data) <= SEGMENT:
+        units, bounds = words_of(data, offsets)
+    else:  # one long text, by parts that end with a word
+        parts, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + SEGMENT)
+            if end < len(data):
+                white = np.flatnonzero((data[at:end] == 0x20) | ((data[at:end] >= 0x09) & (data[at:end] <= 0x0D)))
+                end = at + int(white[-1]) + 1 if len(white) else end
+            parts.append(words_of(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        units = np.concatenate(parts)
+        bounds = np.array([0, len(units)])
+    texts, leads = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, max(0, len(units) - PASSAGE + 1), SEGMENT):  # a text of up to SEGMENT bytes has fewer words
+        part = units[at : at + SEGMENT + PASSAGE - 1]
+        lead = Hashes(part, 1)
+        lead = lead(i := np.arange(len(part) - PASSAGE_GRAM + 1), i + PASSAGE_GRAM)
+        start, place = _least(lead, np.clip(bounds - at, 0, len(part)), PASSAGE, PASSAGE_GRAM)
+        place = place[np.insert(place[1:] != place[:-1], 0, True)] if len(place) else place
+        texts.append(np.searchsorted(bounds, place + at, "right") - 1)
+        leads.append(lead[place])
+    return np.concatenate(texts), np.concatenate(leads)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """Anchors of texts that lie one after the other: text, place, first and last string, and tokens (lead, right, left)."""
+    n = len(data)
+    none = np.zeros(0, np.int64)
+    if n < LENGTH:
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+    lead = Hashes(data, 0)
+    lead = lead(at := np.arange(n - GRAM + 1), at + GRAM)
+    start, place = _least(lead, offsets, LENGTH, GRAM)
     if not len(start):
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
-    place = (least[start] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
+    of = Hashes(data, 1)
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])
     first = start[new]
     last = start[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
@@ -105,8 +164,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return text, place, first, last, lead[place], of(place + GRAM, last + LENGTH), of(first, place)
 
 
-def _chunks(column: pa.Array):
-    """(first row, bytes, offsets, shift) of groups of texts, or of overlapping segments of one long text."""
+def _chunks(column: pa.Array, whole: bool = False):
+    """(first row, bytes, offsets, shift) of groups of texts, or of overlapping segments of one long text (whole: all of it)."""
     raw = column.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -114,7 +173,7 @@ def _chunks(column: pa.Array):
     while i < len(raw):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SEGMENT, "right")) - 1)
         lo, hi = int(offsets[i]), int(offsets[j])
-        if hi - lo <= SEGMENT:
+        if whole or hi - lo <= SEGMENT:
             yield i, data[lo:hi], offsets[i : j + 1] - lo, 0
         else:
             for at in range(lo, hi, SEGMENT):
@@ -145,12 +204,13 @@ def multikey(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return order
 
 
-def repeats(table: DataFrame, rows: int, tokens: list[str], depths: list[int], fold: bool = False) -> tuple[DataFrame, Stored]:
+def repeats(table: DataFrame, rows: int, tokens: list[str], depths: list[int], fold: bool = False, across: str | None = None) -> tuple[DataFrame, Stored]:
     """Rows of table whose first token(s) are repeated, and where they are kept until drop().
 
     Column r<depth> for each depth: the first `depth` tokens are repeated; one: the first row of its run of equal
     tokens. depths ascend; rows that aren't repeated at the first are left out. fold: rows that follow each other
-    in a text (doc_id, h, first) become one with last, the last of them."""
+    in a text (doc_id, h, first) become one with last, the last of them. across: tokens count as repeated only if
+    their rows differ in this column (not null)."""
     names, width = table.columns, len(table.columns)
     at = [names.index(t) for t in tokens]
     spread = [n for n in names if n not in tokens]
@@ -181,10 +241,17 @@ def repeats(table: DataFrame, rows: int, tokens: list[str], depths: list[int], f
         for depth in range(1, len(tokens) + 1):
             same = same & (keys[depth - 1][1:] == keys[depth - 1][:-1])
             if depth in depths:
-                flags[depth] = np.append(same, False) | np.insert(same, 0, False)
-                size = np.diff(np.append(np.flatnonzero(np.insert(~same, 0, True)), n))
-                for i, s in {0: size[0], n - 1: size[-1]}.items():  # runs that may go on in the next bucket
-                    edges.append((depth, *[int(k[i]) if d < depth else 0 for d, k in enumerate(keys)], int(s)))
+                begin = np.flatnonzero(np.insert(~same, 0, True))
+                size = np.diff(np.append(begin, n))
+                if across:
+                    of = whole.column(across).to_numpy()[order]
+                    low, high = np.minimum.reduceat(of, begin), np.maximum.reduceat(of, begin)
+                    flags[depth] = np.repeat(low != high, size)
+                else:
+                    flags[depth] = np.append(same, False) | np.insert(same, 0, False)
+                    low = high = np.zeros(len(begin), np.int64)
+                for i, k in {0: 0, n - 1: len(begin) - 1}.items():  # runs that may go on in the next bucket
+                    edges.append((depth, *[int(t[i]) if d < depth else 0 for d, t in enumerate(keys)], int(low[k]), int(high[k]), int(size[k])))
                 edge = np.zeros(n, bool)
                 edge[: size[0]] = edge[n - size[-1] :] = True
                 flags[-depth] = edge
@@ -199,25 +266,26 @@ def repeats(table: DataFrame, rows: int, tokens: list[str], depths: list[int], f
         cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
         cols += [pa.array(flags[d][place]) for d in depths] + [pa.array(flags[-d][place]) for d in depths] + [pa.array(flags[0][place])]
         cols += [pa.array(last)] if fold else []
-        told = pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64))], names=full)
+        told = pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(m, np.int32)), *[pa.array(np.zeros(m, np.int64))] * 3], names=full)
         yield told
         blank = [pa.nulls(len(edges), told.schema.field(i).type) for i in range(len(full))]
         for d, k in enumerate(at):
             blank[k] = pa.array([e[1 + d] for e in edges], pa.int64())
-        blank[-2] = pa.array([e[0] for e in edges], pa.int32())
-        blank[-1] = pa.array([e[-1] for e in edges], pa.int64())
+        blank[-4] = pa.array([e[0] for e in edges], pa.int32())
+        for k in (-3, -2, -1):
+            blank[k] = pa.array([e[k] for e in edges], pa.int64())
         yield pa.RecordBatch.from_arrays(blank, names=full)
 
     extra = ["last"] if fold else []
-    full = [*names, *[f"r{d}" for d in depths], *[f"e{d}" for d in depths], "one", *extra, "depth", "n"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields] + [f"r{d} boolean" for d in depths] + [f"e{d} boolean" for d in depths] + ["one boolean"] + [f"{c} bigint" for c in extra] + ["depth int, n bigint"])
+    full = [*names, *[f"r{d}" for d in depths], *[f"e{d}" for d in depths], "one", *extra, "depth", "low", "high", "n"]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields] + [f"r{d} boolean" for d in depths] + [f"e{d} boolean" for d in depths] + ["one boolean"] + [f"{c} bigint" for c in extra] + ["depth int, low bigint, high bigint, n bigint"])
     stored = Stored(table.repartitionByRange(parts, *tokens, *spread).mapInArrow(run, schema), "repeats")
     found = stored.read()
-    out = found.filter("depth = 0").drop("depth", "n")
+    out = found.filter("depth = 0").drop("depth", "low", "high", "n")
     for d in depths:
         mine = tokens[:d]
-        runs = found.filter(F.col("depth") == d).groupBy(*mine).agg(F.count("*").alias("runs"), F.sum("n").alias("n"))
-        over = cut(runs.filter("runs > 1 AND n > 1").select(*mine, F.lit(True).alias("over")))  # two rows a bucket at most
+        runs = found.filter(F.col("depth") == d).groupBy(*mine).agg(F.count("*").alias("runs"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        over = cut(runs.filter("runs > 1 AND low < high" if across else "runs > 1 AND n > 1").select(*mine, F.lit(True).alias("over")))  # two rows a bucket at most
         out = out.join(broadcast_if_small(over), mine, "left").withColumn(f"r{d}", F.col(f"r{d}") | (F.col(f"e{d}") & F.coalesce("over", F.lit(False)))).drop("over")
     return out.filter(F.col(f"r{depths[0]}")).select(*names, *[f"r{d}" for d in depths], "one", *extra), stored
 
@@ -235,7 +303,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (hash of the text) and spans, an array of (a, b): bytes a to b of the text are under repeated strings."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = _keyed(docs, id_col, text_col).drop("k")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def suffixes(batches):
@@ -271,7 +339,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     groups = [(int(a), data[a : b + LENGTH], np.array([x]), np.array([a]), np.array([b])) for x, a, b in zip(lead, first, last)]
                 for shift, part, x, a, b in groups:
-                    of, n = Hashes(part), b - a + 1
+                    of, n = Hashes(part, 1), b - a + 1
                     start = np.repeat(a - shift - np.cumsum(n) + n, n) + np.arange(n.sum())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(x, n)), pa.array(of(start, start + LENGTH).view(np.int64)), pa.array([batch.column(0)[k].as_py()] * len(start), batch.schema.field(0).type), pa.array(np.full(len(start), batch.column(1)[k].as_py(), np.int64)), pa.array(start + shift)],
@@ -287,12 +355,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h, k (one number for both) and text as bytes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text")).withColumn("k", F.xxhash64("doc_id", "h"))
+
+
+def sharing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k of each document that shares a passage with another one."""
+    ship_package(docs.sparkSession)
+
+    def grams(batches):
+        for batch in batches:
+            for i, data, offsets, _ in _chunks(batch.column(1), whole=True):
+                text, lead = passage_anchors(data, offsets)
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), batch.column(0).take(pa.array(text + i))], names=["lead", "k"])
+
+    table = Stored(_keyed(docs, id_col, text_col).select("k", "text").mapInArrow(grams, "lead bigint, k bigint"), "grams")
+    found, kept = repeats(table.read(), table.read().count(), ["lead"], [1], across="k")
+    table.drop()
+    done = cut(found.select("k").distinct())
+    kept.drop()
+    return done
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_bytes also kept (the bytes) and spans."""
-    spans = repeated_spans(docs, id_col, text_col).toDF("d", "g", "spans")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage; with keep_bytes also kept (the bytes) and spans."""
+    spans = repeated_spans(docs, id_col, text_col).withColumn("k", F.xxhash64("doc_id", "h")).toDF("d", "g", "spans", "k")
+    rows = _keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    side = spans.join(sharing(docs, id_col, text_col).withColumn("shares", F.lit(True)), "k", "full")
+    mine = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    both = rows.join(side, "k", "left").select("doc_id", "text", F.when(mine, F.col("spans.a")).alias("a"), F.when(mine, F.col("spans.b")).alias("b"), F.coalesce("shares", F.lit(False)).alias("shares"))
 
     def run(batches):
         for batch in batches:
@@ -303,10 +398,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 for col, v in zip(out, (len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [list(s) for s in gone])):
                     col.append(v)
-            cols = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())]
+            cols = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string()), batch.column(4)]
             if keep_bytes:
                 cols += [pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage", "kept", "spans"][: len(cols)])
 
     extra = ", kept binary, spans array<array<bigint>>" if keep_bytes else ""
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{extra}")
+    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, shares_passage boolean{extra}")
