@@ -7,24 +7,30 @@ OVERLAP bytes. Passages are trimmed; cuts may fall inside a character, so passag
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.runtime import ship_package
+
 TARGET, OVERLAP = 1000, 150
 STRIDE = TARGET - OVERLAP
 
 
-def _bytes(text: str) -> Column:
-    return F.lit(text).cast("binary")
-
-
-# UTF-8 of the characters with the White_Space property, one character a byte.
-_WHITE = r"(?:[\t-\r ]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80)+"
+# UTF-8 of the characters with the White_Space property.
+_WHITE = rb"(?:[\t-\r ]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80)"
+_HEAD, _TAIL = re.compile(rb"\A" + _WHITE + rb"+"), re.compile(_WHITE + rb"\Z")
 
 
-def _trim(b: Column) -> Column:
+def trimmed(b: bytes) -> bytes:
     """Without white space at either end; the bytes of a character that a cut has split are kept."""
-    return F.encode(F.regexp_replace(F.decode(b, "ISO-8859-1"), rf"\A{_WHITE}|{_WHITE}\z", ""), "ISO-8859-1")
+    b = _HEAD.sub(b"", b)
+    while m := _TAIL.search(b, max(0, len(b) - 3)):
+        b = b[: m.start()]
+    return b
 
 
 def paragraphs(text: Column) -> Column:
@@ -45,31 +51,55 @@ def offsets(size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * STRIDE).alias("start"), F.when(i < n, F.lit(TARGET)).otherwise(size - n * STRIDE).cast("int").alias("length")))
 
 
-def _flushed(out: Column, held: Column) -> Column:
-    got = _trim(held)
-    return F.when(F.octet_length(got) > 0, F.concat(out, F.array(got))).otherwise(out)
-
-
-def _step(state: Column, paragraph: Column) -> Column:
-    p = paragraph.cast("binary")
-    size = F.octet_length(p)
-    n = hard_cuts(size)
-    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: _trim(F.substring(p, i * STRIDE + 1, F.lit(TARGET))))).otherwise(F.array().cast("array<binary>"))
-    out = F.when(n > 0, F.concat(_flushed(state["out"], state["held"]), pieces)).otherwise(state["out"])
-    held = F.when(n > 0, _bytes("")).otherwise(state["held"])
-    rest = F.substring(p, n * STRIDE + 1, size)
-    full = (F.octet_length(held) > 0) & (F.octet_length(held) + F.octet_length(rest) > TARGET)
-    out2 = F.when(full, _flushed(out, held)).otherwise(out)
-    carried = F.when(F.octet_length(held) > OVERLAP, F.concat(F.substring(held, F.octet_length(held) - OVERLAP + 1, F.lit(OVERLAP)), _bytes("\n"))).otherwise(_bytes(""))
-    held2 = F.when(full, carried).otherwise(held)
-    joined = F.when(F.octet_length(held2) > 0, F.concat(held2, _bytes("\n\n"), rest)).otherwise(rest)
-    return F.struct(joined.alias("held"), out2.alias("out"))
+def gather(parts: list[bytes]) -> list[bytes]:
+    """Passages of a text that has these paragraphs."""
+    out: list[bytes] = []
+    held: list[bytes] = []  # pieces of the passage that is open
+    size = 0
+
+    def close() -> None:
+        nonlocal held, size
+        if got := trimmed(b"".join(held)):
+            out.append(got)
+        held, size = [], 0
+
+    def put(piece: bytes) -> None:
+        nonlocal size
+        held.append(piece)
+        size += len(piece)
+
+    for part in parts:
+        cuts = -(-(len(part) - 2 * TARGET) // STRIDE)
+        if cuts > 0:
+            close()
+            out += [trimmed(part[i * STRIDE : i * STRIDE + TARGET]) for i in range(cuts)]
+            part = part[cuts * STRIDE :]
+        if size and size + len(part) > TARGET:
+            tail = b"".join(held)[-OVERLAP:] if size > OVERLAP else b""
+            close()
+            if tail:
+                put(tail + b"\n")
+        if size:
+            put(b"\n\n")
+        put(part)
+    close()
+    return out
+
+
+@cache
+def _gathered():
+    """The fold over paragraphs, a batch at a time: its state grows with the text, which no built-in keeps without copying it."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else gather(x) for x in column.cast(pa.list_(pa.binary())).to_pylist()], pa.list_(pa.binary()))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<binary>")
 
 
 def chunk(text: Column) -> Column:
     """Passages of a text, array<binary>."""
-    start = F.struct(_bytes("").alias("held"), F.array().cast("array<binary>").alias("out"))
-    return F.aggregate(paragraphs(text), start, _step, lambda s: _flushed(s["out"], s["held"]))
+    return _gathered()(paragraphs(text))
 
 
 def chunk_hash(passage: Column) -> Column:
@@ -81,5 +111,6 @@ def passages(docs: DataFrame, id_col: str = "id", name_col: str = "name", text_c
     """doc_id, doc_name, chunk_no (from 0), text, n_tokens, chunk_hash."""
     from quernel.functions.text import tokenize
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(name_col).cast("string").alias("doc_name"), F.posexplode(chunk(F.coalesce(F.col(text_col), F.lit("")))).alias("chunk_no", "text"))
     return rows.select("doc_id", "doc_name", F.col("chunk_no").cast("int").alias("chunk_no"), "text", F.size(tokenize(F.col("text").cast("string"))).alias("n_tokens"), chunk_hash(F.col("text")).alias("chunk_hash"))

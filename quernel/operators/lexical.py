@@ -6,20 +6,36 @@ broadcast while they are few. Every entry point takes a batch of queries; one qu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.functions.text import is_term, raw_terms, tokenize
-from quernel.runtime import broadcast_if_small
+from quernel.functions.text import tokenize
+from quernel.runtime import broadcast_if_small, cut, ship_package
 
 K1, B = 1.2, 0.75
 DEPTH = 50
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_no, tf, n_tokens. Partial counts are summed before the shuffle."""
-    words = passages.select("doc_id", "chunk_no", "n_tokens", F.explode(raw_terms(F.col("text").cast("string"))).alias("term"))
-    return words.filter(is_term(F.col("term"))).groupBy("term", "doc_id", "chunk_no", "n_tokens").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "chunk_no", "tf", "n_tokens")
+    """term, doc_id, chunk_no, tf, n_tokens. The terms of a passage are counted where it is read, without a shuffle."""
+    ship_package(passages.sparkSession)
+    rows = passages.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("n_tokens").cast("int").alias("n_tokens"), tokenize(F.col("text").cast("string")).alias("terms"))
+
+    def count(batches):
+        for batch in batches:
+            terms = batch.column(3)
+            of, words = pc.list_parent_indices(terms), pc.list_flatten(terms).dictionary_encode()
+            if not len(of):
+                continue
+            kinds = len(words.dictionary)
+            cells, tf = np.unique(of.to_numpy().astype(np.int64) * kinds + words.indices.to_numpy(), return_counts=True)
+            row = pa.array(cells // kinds)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(cells % kinds)), batch.column(0).take(row), batch.column(1).take(row), pa.array(tf.astype(np.int32)), batch.column(2).take(row)], names=["term", "doc_id", "chunk_no", "tf", "n_tokens"])
+
+    return rows.mapInArrow(count, f"term string, doc_id {passages.schema['doc_id'].dataType.simpleString()}, chunk_no int, tf int, n_tokens int")
 
 
 def write_postings(passages: DataFrame, path: str, partitions: int) -> None:
@@ -57,7 +73,7 @@ def bm25(queries: DataFrame, posting_list: DataFrame, stats: DataFrame) -> DataF
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = broadcast_if_small(weighted.select("query_id", "pos", "term", idf.alias("idf"), "avg_len"))
+    words = broadcast_if_small(cut(weighted.select("query_id", "pos", "term", idf.alias("idf"), "avg_len")))  # the counts are made once
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
     each = hit.join(words, "term").select("query_id", "doc_id", "chunk_no", F.struct("pos", part.alias("part")).alias("s"))

@@ -10,7 +10,7 @@ from quernel.functions import vector as V
 from quernel.operators import chats, chunking, corpus, dense, hybrid, lexical, manifest, vectors
 from quernel.plans import fixtures as X
 from quernel.plans import sql as S
-from quernel.runtime import cut
+from quernel.runtime import cut, spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -30,7 +30,8 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages", "embeddings") else found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
