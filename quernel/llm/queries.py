@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm import bpe, class_lm, decontaminate, exact_dedup, html_main, secret_scan, sharding, simhash, site_quality, suffix_dedup
+from quernel.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
