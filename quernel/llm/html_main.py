@@ -1,21 +1,29 @@
 """Main text of web pages by line-block distribution.
 
-A page is read once, tag by tag. Markup goes; what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments goes with its element and leaves a gap of empty lines.
-Every block is one line. Then text lengths are summed over windows of lines: the text surges where a window
-sum rises from nothing to a share of the greatest one and dives where it falls to nothing; between the two
-lies a stretch of text, and the stretches of the greatest container are kept. If the page marks its article
-(article, main, role=main), only lines inside it are counted, and any text there is a surge.
+A page is read once, tag by tag, and every block becomes a line. The length of a line is that of its text
+outside links (headings count whole); lines of menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments have length 0, as elements (nav, footer, aside, ...) or by a class, id or role that says nothing
+else. Lengths are summed over windows of WINDOW lines. Text surges where a sum rises from nothing and dives where
+it falls back to nothing; the lines between are a stretch, which is kept if one of its sums reaches a level that
+comes from the page's own lines (LEVEL of their median, LEAST characters at most). So lists of links and stray
+scraps go, in a marked article as well, and a short paragraph between two others stays.
+
+Marks count as lengths too: where article (or main) elements hold at least MARKED of a page's text, lines outside
+them have length 0. An article inside a dropped element is none. A form that holds at least half of the page's
+text is a frame of the page and not dropped, but its controls are. Leaving a dropped element between marked or
+unmarked text is no dive: only lines make one.
 
 Defined cases: a null or empty page has empty text and n_chars 0; a page without block tags is one block;
-elements that are never closed end with their parent; a stray < is text; repeated rows give equal rows; an
-empty table gives an empty result; other columns are ignored. Pages are read whole.
+elements that are never closed end with their parent; a stray < is text; stretches with equal sums are all kept;
+repeated rows give equal rows; an empty table gives an empty result; other columns are ignored. Pages are read
+whole, very long ones too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,60 +31,90 @@ from pyspark.sql import DataFrame
 from quernel.runtime import ship_package
 
 WINDOW = 3
-#: Without a marked article: share of the greatest window sum at which text surges.
-SURGE = 0.25
+#: A stretch of text needs a window sum of LEVEL times the median line, but no more than LEAST characters.
+LEVEL, LEAST = 0.25, 40
+#: Share of the text that marked articles must hold to be the article; share of it at which a form is a frame.
+MARKED, FRAME = 0.25, 0.5
 
 # HTML element names by their role.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "canvas", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "search"}
-#: Words in class, id or role that name what isn't the article.
-NAMED = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "sidebar", "side", "widget", "related", "recommended", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "navbar", "nav", "navigation", "header", "masthead", "topbar", "footer", "bottom", "comment", "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "search", "login", "complementary", "contentinfo"}
-MARKED = {"article", "main"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+DROPPED = {"head", "nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "datalist", "search"}
+#: Words that name what isn't the article, and words that say nothing more about it. A class, id or role drops its
+#: element if it has one of the first and none but these: "comment-list" does, "share-price" doesn't.
+NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "sidebar", "widget", "widgets", "related", "recommended", "teaser", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "navbar", "nav", "navigation", "header", "masthead", "topbar", "footer", "comment", "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "search", "login", "complementary", "contentinfo"}
+FILLER = {"site", "page", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "side", "area", "container", "wrapper", "wrap", "inner", "outer", "box", "block", "section", "bar", "panel", "list", "item", "items", "links", "posts", "buttons", "form", "thread", "policy", "slot", "unit", "col", "column", "row", "message", "user", "reader", "mobile", "desktop"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES_P = BLOCK - {"br", "html", "head", "body"}
 
 
+class Line(NamedTuple):
+    """A block of a page. length: characters outside links; main, article, form: which mark or form holds it, 0 for none."""
+
+    text: str
+    length: int
+    dropped: bool
+    main: int
+    article: int
+    form: int
+
+
 def _named(attributes: str) -> tuple[bool, bool]:
     """Whether attributes say that an element isn't the article, or that it is."""
     if not attributes.strip():
         return False, False
     gone = main = False
     for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            gone |= bool(words & NAMED)
-            main |= name == "role" and "main" in words
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            gone = True
+        if name.lower() in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = {w for w in _WORD.findall(_CAMEL.sub(" ", token).lower()) if len(w) > 1}
+                gone |= bool(words & NAMED) and words <= NAMED | FILLER
+            main |= name.lower() == "role" and value.strip("\"'").lower() == "main"
     return gone, main
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, container, article) of each line; gaps have empty text. container: the nearest open container; article: 0 for none."""
-    out: list[tuple[str, int, int]] = []
+class _Open(NamedTuple):
+    tag: str
+    dropped: bool
+    main: int
+    article: int
+    form: int
+    link: bool
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of a page that have text, in their order."""
+    out: list[Line] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, dropped, container, article
+    plain = 0  # characters of held outside links
+    stack = [_Open("", False, 0, 0, 0, False, False)]
     made, at, n = 0, 0, len(page)
 
     def close() -> None:
+        nonlocal plain
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((text, stack[-1][2], stack[-1][3]))
+                now = stack[-1]
+                out.append(Line(text, len(text) if now.heading else min(plain, len(text)), now.dropped, now.main, now.article, now.form))
+        plain = 0
 
     while at < n:
         m = _TAG.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not stack[-1][1]:
-            held.append(html.unescape(page[at:stop]))
+        if stop > at:
+            text = html.unescape(page[at:stop])
+            held.append(text)
+            if not stack[-1].link:
+                plain += len(" ".join(text.split()))
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
@@ -86,9 +124,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             close()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1] and not stack[k - 1][1]:
-                        out.extend([("", 0, 0)] * WINDOW)
+                if stack[k].tag == tag:
+                    if any(x.dropped != stack[k - 1].dropped for x in stack[k:]):
+                        close()
                     del stack[k:]
                     break
             continue
@@ -101,56 +139,83 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if tag == "body":  # ends a head that was left open
             del stack[1:]
-        elif tag in _CLOSES_P and stack[-1][0] == "p" or tag in ("li", "option", "dd", "dt", "tr", "td", "th") and stack[-1][0] == tag:
+        elif tag in _CLOSES_P and stack[-1].tag == "p" or tag in ("li", "option", "dd", "dt", "tr", "td", "th") and stack[-1].tag == tag:
             stack.pop()
-        _, dropped, container, article = stack[-1]
+        above = stack[-1]
         gone, main = _named(m[3])
-        if tag in MARKED or main:
-            gone = gone and tag != "main" and not main
-        if tag in MARKED and not gone or main:
-            made += 1
-            article = article or made
-        if tag in ("article", "main", "section", "div", "td", "body"):
-            made += 1
-            container = made
-        stack.append((tag, dropped or (tag in DROPPED or gone) and tag not in ("body", "html"), container, article))
+        gone = (tag in DROPPED or gone) and tag not in ("body", "html", "main") and not main
+        if gone and not above.dropped:
+            close()
+        made += 1
+        marked = not (gone or above.dropped)
+        stack.append(
+            _Open(
+                tag,
+                above.dropped or gone,
+                above.main or (made if marked and (tag == "main" or main) else 0),
+                above.article or (made if marked and tag == "article" else 0),
+                above.form or (made if tag == "form" else 0),
+                above.link or tag == "a",
+                above.heading or tag in HEADING,
+            )
+        )
     close()
     return out
 
 
-def between(found: list[tuple[str, int, int]]) -> list[str]:
-    """Lines between surges and dives."""
-    weight: dict[int, int] = {}
-    for text, _, article in found:
-        if article:
-            weight[article] = weight.get(article, 0) + len(text)
-    if weight:
-        best = max(weight, key=weight.get)
-        found, least = [x for x in found if x[2] == best], 1.0
-    else:
-        least = None
-    size = [len(t) for t, _, _ in found]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    if not any(sums):
+def lengths(found: list[Line]) -> list[int]:
+    """Length of each line: 0 where it is known not to be the article."""
+    size = [0 if x.dropped else x.length for x in found]
+    whole = sum(size)
+    in_form: dict[int, int] = {}
+    for x, n in zip(found, size):
+        in_form[x.form] = in_form.get(x.form, 0) + n
+    size = [n if not x.form or in_form[x.form] >= FRAME * whole else 0 for x, n in zip(found, size)]
+    whole = sum(size)
+    for mark in ("article", "main"):
+        inside = sum(n for x, n in zip(found, size) if getattr(x, mark))
+        beside = sum(n for x, n in zip(found, size) if x.main)
+        if inside and inside >= MARKED * whole and (mark == "main" or inside >= FRAME * beside):
+            return [n if getattr(x, mark) else 0 for x, n in zip(found, size)]
+    return size
+
+
+def between(found: list[Line]) -> list[str]:
+    """Text of the lines between surges and dives."""
+    size = lengths(found)
+    some = sorted(n for n in size if n)
+    if not some:
         return []
-    least = least or max(1.0, SURGE * max(sums))
-    kept: list[list[int]] = []
-    inside = False
-    for i, s in enumerate(sums):
-        if not inside and s >= least and size[i]:  # surge
-            kept.append([])
-            inside = True
-        elif inside and s == 0:  # dive
-            inside = False
-        if inside and size[i]:
-            kept[-1].append(i)
-    if not weight and len(kept) > 1:  # stretches of the container that holds most text
-        of: dict[int, int] = {}
-        for i in (i for k in kept for i in k):
-            of[found[i][1]] = of.get(found[i][1], 0) + size[i]
-        best = max(of, key=of.get)
-        kept = [k for k in kept if any(found[i][1] == best for i in k)]
-    return [found[i][0] for k in kept for i in k]
+    level = min(LEAST, LEVEL * some[len(some) // 2])
+    # the sum of a window that ends at a line; a stretch runs from the first line of a window with text to its last
+    text = [i for i, n in enumerate(size) if n]
+    kept: list[str] = []
+    first = 0
+    for k in range(1, len(text) + 1):
+        if k < len(text) and text[k] - text[k - 1] <= WINDOW:  # fewer than WINDOW lines without text: no window sum is 0
+            continue
+        stretch = text[first:k]
+        first = k
+        inside = range(stretch[0], stretch[-1] + 1)
+        if max(sum(size[max(stretch[0], i - WINDOW + 1) : i + 1]) for i in inside) >= level:
+            before, after = _links(found, stretch[0], -1), _links(found, stretch[-1], 1)
+            kept += [found[i].text for i in range(inside[0] - before, inside[-1] + after + 1) if size[i] or _beside(found[i], found[stretch[0]])]
+    return kept
+
+
+def _beside(line: Line, other: Line) -> bool:
+    """Whether a line of nothing but links stands in the same place as another one."""
+    return not line.dropped and line.length == 0 and (line.main, line.article, line.form) == (other.main, other.article, other.form)
+
+
+def _links(found: list[Line], i: int, step: int) -> int:
+    """How many lines of links from line i on belong to the marked article that ends there: fewer than WINDOW, as more are a dive."""
+    if not (found[i].article or found[i].main):
+        return 0
+    n = 0
+    while 0 <= i + step * (n + 1) < len(found) and _beside(found[i + step * (n + 1)], found[i]):
+        n += 1
+    return n if n < WINDOW else 0
 
 
 def main_text(page: str | None) -> str:
