@@ -1,19 +1,24 @@
 """Benchmark decontamination by template canonicalisation (native DataFrame functions only).
 
-Numbers, units after a number and capitalised words inside a sentence become typed placeholders, so that a
-question with other values has the same template. Windows of WINDOW template tokens of benchmark items are
-hash-joined with the windows of every document. A match fixes an alignment of item and document; along it
-the values in the slots are compared: one value of the item must stand for one value in the document. A
-window with fewer than LITERALS plain words only counts when its values are the same.
-
-A document leaks an item when consistent alignments cover COVER of the item's windows or at least RUN of
-them. Shorter items have one window of their whole length.
-
-The items' windows are broadcast while there are at most BENCH_ROWS of them, else the join shuffles.
-
-Defined cases: null or empty texts and items have no windows and match nothing; repeated rows each have
-their rows; a null doc_id or item_id is kept as it is; empty tables give an empty result; other columns are
-ignored, or kept by drop_leaks, whatever their names.
+Numbers, units after a number and names become typed placeholders, so that a question with other values has the
+same template. A name is a capitalised word; where a sentence, a quotation or a line may begin, words of ORDINARY
+are none. White space is one space before that, so wrapping changes nothing. Windows of WINDOW template tokens of
+benchmark items are hash-joined with the windows of every document; each item also has the windows that it would
+have in lower case, where names are plain words. A match fixes an alignment of item and document; along it the
+values in the slots are compared: one value of the item must stand for one value in the document. Where it stands
+for two, only windows with the item's own values count. A window with fewer than LITERALS plain words is keyed by its
+values, so it only meets windows with the same ones and lists of numbers don't meet each other.
+
+A document leaks an item when its counting windows are COVER of the item's windows or at least RUN of them. Shorter
+items have one window of their whole length.
+
+The items' windows are broadcast while they are within the bounds of broadcast_if_small and BENCH_ROWS rows, else
+the join shuffles.
+
+Defined cases: null or empty texts and items have no windows and match nothing; texts are read whole, a very long one
+is one array of tokens; items with equal windows are each told; repeated windows of a document match each, repeated
+rows each have their rows; a null doc_id or item_id is kept as it is; empty tables give an empty result; other columns
+are ignored, or kept by drop_leaks, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ BENCH_ROWS = 500_000
 
 # Units of measure and of money.
 UNITS = "kg|g|mg|lb|lbs|oz|t|km|m|cm|mm|nm|mi|miles?|meters?|metres?|kilometers?|kilometres?|ft|feet|foot|inch|inches|yards?|l|ml|liters?|litres?|gallons?|s|ms|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|kb|mb|gb|tb|hz|khz|mhz|ghz|v|kv|w|kw|mw|j|kj|cal|kcal|pa|kpa|bar|k|c|f|degrees?|percent|dollars?|euros?|pounds?|cents?|usd|eur|gbp|mph|kmh"
+# Words that open sentences and are no names, in four languages.
+ORDINARY = "The|An|This|That|These|Those|There|Here|It|Its|He|She|His|Her|They|Their|We|Our|You|Your|My|And|But|Or|If|When|While|Where|Which|Who|Whom|Whose|What|Why|How|In|On|At|By|For|From|Of|To|With|After|Before|Then|So|As|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Should|Has|Have|Had|Not|No|Each|Every|All|Some|Find|Given|Let|Der|Die|Das|Ein|Eine|Es|Er|Sie|Wir|Und|Oder|Aber|Wenn|Wie|Was|Wer|Wo|Warum|Im|Am|Mit|Von|Zu|Auf|Nach|Ist|Sind|Le|La|Les|Un|Une|Des|Du|Il|Elle|Ils|Nous|Vous|Et|Ou|Mais|Si|Quand|Comment|Quel|Quelle|Qui|Que|Dans|En|Par|Pour|Sur|Avec|El|Los|Las|Una|Ella|Ellos|Pero|Cuando|Como|Cual|Quien|Con|Por|Para|Es|Son"
 NUMBER, UNIT, NAME = "_n", "_u", "_a"
 
 
@@ -38,15 +45,17 @@ def _tokens(text: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    """Words and numbers of a text; a decimal is one token, a number and its unit are two."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "_", " ")
+    """Words and numbers of a text on one line; a decimal is one token, a number and its unit are two."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\s\x{85}\p{Z}]+", " ")
     text = F.regexp_replace(text, r"(?<=\p{N})[.,:](?=\p{N})", "_")
     return F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
 
 
-def template(raw: Column) -> Column:
-    """raw_tokens() with placeholders, in lower case; the same number of tokens."""
-    text = F.regexp_replace(raw, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}_])", NAME)
+def template(raw: Column, names: bool = True) -> Column:
+    """raw_tokens() with placeholders, in lower case; the same number of tokens. names: with placeholders for them."""
+    text = raw
+    if names:
+        text = F.regexp_replace(raw, rf"(?<![\p{{L}}\p{{N}}_])(?=\p{{Lu}}\p{{Ll}})(?:(?<=[\p{{Ll}}\p{{N}},;] )|(?!(?:{ORDINARY})(?![\p{{L}}\p{{N}}_])))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}_])", NAME)
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])\p{N}[\p{N}_]*(?![\p{L}\p{N}_])", NUMBER)
     return F.lower(F.regexp_replace(text, rf"(?i)(?<=(?<![\p{{L}}\p{{N}}]){NUMBER} )(?:{UNITS})(?![\p{{L}}\p{{N}}_])", UNIT))
 
@@ -56,16 +65,19 @@ def windows(rows: DataFrame, size: int) -> DataFrame:
     n = F.size("words")
     every = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
     cut_out = lambda c, i: F.slice(c, i + 1, F.lit(size))
-    has_slot = lambda i: F.col("slotted") & F.exists(cut_out("words", i), lambda w: w.startswith("_"))
-    each = F.transform(every, lambda i: F.struct(F.xxhash64(cut_out("words", i)).alias("key"), i.alias("at"), F.when(has_slot(i), cut_out("raw", i)).alias("seen")))
+    slots = lambda i: F.when(F.col("slotted"), F.size(F.filter(cut_out("words", i), lambda w: w.startswith("_")))).otherwise(0)
+    each = F.transform(every, lambda i: F.struct(i.alias("at"), slots(i).alias("n")))
+    few = lambda x: x["n"] > F.lit(max(0, size - LITERALS))
+    keyed = lambda x: F.when(few(x), F.xxhash64(cut_out("raw", x["at"]), F.lit(1))).otherwise(F.xxhash64(cut_out("words", x["at"])))
+    made = F.transform(each, lambda x: F.struct(keyed(x).alias("key"), x["at"].alias("at"), F.when(x["n"] > 0, cut_out("raw", x["at"])).alias("seen")))
     kept = [c for c in rows.columns if c not in ("words", "raw", "slotted")]
-    return rows.select(*kept, F.inline(each))
+    return rows.select(*kept, F.inline(made))
 
 
-def _split(rows: DataFrame, text_col: str) -> DataFrame:
+def _split(rows: DataFrame, text_col: str, names: bool = True) -> DataFrame:
     """rows with words, raw and slotted (is there any placeholder) in place of the text."""
     kept = [c for c in rows.columns if c != text_col]
-    made = rows.select(*kept, raw_tokens(F.col(text_col)).alias("plain")).select(*kept, "plain", template(F.col("plain")).alias("mould"))
+    made = rows.select(*kept, raw_tokens(F.col(text_col)).alias("plain")).select(*kept, "plain", template(F.col("plain"), names).alias("mould"))
     parts = F.struct(_tokens(F.col("mould")).alias("words"), _tokens(F.lower("plain")).alias("raw"), F.col("mould").contains("_").alias("slotted"))
     # an explode of one element keeps the optimizer from moving the split into the work on each window
     return made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
@@ -73,15 +85,16 @@ def _split(rows: DataFrame, text_col: str) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, matched, windows, coverage, slots, changed, kind for each item that a document leaks, with its row number rid."""
-    items = _split(benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text")), "text").filter(F.size("words") > 0)
-    items = cut(items.withColumn("span", F.least(F.lit(WINDOW), F.size("words"))).withColumn("item", F.monotonically_increasing_id()))
+    asked_items = cut(benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("item")))
+    items = _split(asked_items, "text").unionByName(_split(asked_items, "text", names=False))
+    items = cut(items.filter(F.size("words") > 0).withColumn("span", F.least(F.lit(WINDOW), F.size("words"))).distinct())
     text = _split(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").withColumn("rid", F.monotonically_increasing_id())
     hits = None
     for span in [r["span"] for r in items.select("span").distinct().collect()]:  # WINDOW values at most
         mine = items.filter(F.col("span") == span)
-        whole = mine.select("item", F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
-        asked = windows(mine.withColumn("windows", F.size("words") - span + 1), span).select("item", "item_id", "windows", "key", F.col("at").alias("item_at")).join(whole, "item")
-        asked = cut(asked.withColumns({c: F.slice(c, F.col("item_at") + 1, F.lit(span)) for c in ("item_words", "item_raw")}))
+        held = mine.select("*", (F.size("words") - span + 1).alias("windows"), F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
+        asked = windows(held, span).select("item", "item_id", "windows", "key", F.col("at").alias("item_at"), "item_words", "item_raw")
+        asked = cut(asked.withColumns({c: F.slice(c, F.col("item_at") + 1, F.lit(span)) for c in ("item_words", "item_raw")}).dropDuplicates(["item", "item_at", "key"]))
         seen = windows(text, span).join(broadcast_if_small(asked, BENCH_ROWS), "key")
         seen = seen.select("rid", "doc_id", "item", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "item_words", "item_raw", F.coalesce("seen", "item_raw").alias("doc_raw"))
         hits = seen if hits is None else hits.unionByName(seen)
@@ -89,10 +102,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast(k).alias(c) for c, k in (("matched", "long"), ("windows", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"))], F.lit("").alias("kind"), F.lit(0).cast("long").alias("rid"))
     slot = F.filter(F.arrays_zip(F.col("item_words").alias("t"), F.col("item_raw").alias("b"), F.col("doc_raw").alias("d")), lambda x: x["t"].isin(NUMBER, UNIT, NAME))
     hits = hits.withColumn("pairs", F.transform(slot, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))).withColumn("plain", F.size("item_words") - F.size("pairs"))
-    hits = hits.filter((F.col("plain") >= LITERALS) | F.forall("pairs", lambda x: x["b"] == x["d"]) | (F.size("pairs") == 0))
-    aligned = hits.groupBy("rid", "doc_id", "item", "item_id", "windows", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hits = hits.withColumn("same", F.forall("pairs", lambda x: x["b"] == x["d"])).filter((F.col("plain") >= LITERALS) | F.col("same"))
+    aligned = hits.groupBy("rid", "doc_id", "item", "item_id", "windows", "shift").agg(F.collect_set("item_at").alias("ats"), F.collect_set(F.when(F.col("same"), F.col("item_at"))).alias("own"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     steady = F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs")
-    found = aligned.filter(steady).groupBy("rid", "doc_id", "item", "item_id", "windows").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    counted = aligned.withColumn("ats", F.when(steady, F.col("ats")).otherwise(F.col("own"))).withColumn("pairs", F.when(steady, F.col("pairs")).otherwise(F.filter("pairs", lambda x: x["b"] == x["d"])))
+    found = counted.groupBy("rid", "doc_id", "item", "item_id", "windows").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     found = found.withColumn("matched", F.size("ats").cast("long")).filter((F.col("matched") >= COVER * F.col("windows")) | (F.col("matched") >= RUN))
     changed = F.size(F.filter("pairs", lambda x: x["b"] != x["d"])).cast("long")
     return found.select("doc_id", "item_id", "matched", F.col("windows").cast("long").alias("windows"), (F.col("matched") / F.col("windows")).alias("coverage"), F.size("pairs").cast("long").alias("slots"), changed.alias("changed"), F.when(changed > 0, "reparameterised").otherwise("same values").alias("kind"), "rid")

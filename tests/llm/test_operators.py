@@ -145,25 +145,44 @@ def batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 7]], pa.int64()) for c in range(3)], names=["a", "b", "c"])
 
 
-def test_suffix_dedup(docs, empty):
-    n = suffix_dedup.LENGTH
-    seen = collections.Counter()
-    for _, t, *_ in ROWS:
+def without_repeats(rows):
+    n, m = suffix_dedup.LENGTH, suffix_dedup.PASSAGE
+    seen, passages = collections.Counter(), collections.defaultdict(set)
+    for i, t, *_ in rows:
         b = (t or "").encode()
-        seen.update(b[i : i + n] for i in range(len(b) - n + 1))
+        seen.update(hash(b[k : k + n]) for k in range(len(b) - n + 1))
+        w = b.split()
+        for k in range(len(w) - m + 1):
+            passages[tuple(w[k : k + m])].add((i, t))
+    shared = {d for docs_ in passages.values() if len(docs_) > 1 for d in docs_}
     want = collections.Counter()
-    for i, t, *_ in ROWS:
+    for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - n + 1):
-            if seen[b[k : k + n]] > 1:
+            if seen[hash(b[k : k + n])] > 1:
                 gone[k : k + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[i, len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+        want[i, len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), (i, t) in shared] += 1
+    return want
+
+
+def test_suffix_dedup(docs, empty):
+    assert collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == without_repeats(ROWS)
     assert suffix_dedup.remove_repeats(empty).isEmpty()
 
 
+def test_suffix_dedup_of_texts_over_a_segment(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base = " ".join(word() for _ in range(170_000))
+    part = " ".join(word() for _ in range(60))
+    assert len(base) > suffix_dedup.SEGMENT and len(part.encode()) > suffix_dedup.LENGTH
+    rows = [(1, base[:500_000] + part + base[500_000:]), (2, part), (3, base[-900:]), (4, " ".join(part.split()[:52])), (5, " ".join(part.split()[:40])), (6, "x" * 1_100_000), (7, base[1_048_000:1_049_200])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(tuple(r) for r in got) == without_repeats(rows)
+
+
 def test_multikey_quicksort():
     tokens = [np.random.default_rng(k).integers(0, 4, 5000) for k in range(3)]
     order = suffix_dedup.multikey(tokens, small=16)
@@ -219,21 +238,140 @@ def test_sharding(docs, empty, spark):
 
 def test_html(spark, empty):
     page = "<html><head><title>t</title></head><body><nav><li>Menu</li></nav><article><h1>A &amp; B</h1><p>One\n two<p>Short<div class='ad'>buy</div><p>x &lt; y<section class=comments><p>Nice</p></section></article><footer>f</footer></body></html>"
-    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "bare text"), (1, "u", page), (5, "u", "<p>open <b>never closed"), (6, "u", "<script>x" + "y" * 100000)]
-    got = html_main.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    want = {1: "A & B\nOne two\nShort\nx < y", 2: "", 3: "", 4: "bare text", 5: "open never closed", 6: ""}
-    assert len(got) == 7 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+    long = "<article>" + "<p>word word word</p>" * 60_000 + "</article>"
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "bare text"), (1, "u", page), (5, "u", "<p>open <b>never closed"), (6, "u", "<script>x" + "y" * 100000), (None, None, long)]
+    made = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("TEXT", F.lit(1))
+    got = html_main.extract(made).collect()
+    want = {1: "A & B\nOne two\nShort\nx < y", 2: "", 3: "", 4: "bare text", 5: "open never closed", 6: "", None: "\n".join(["word word word"] * 60_000)}
+    assert len(got) == 8 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
     assert html_main.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
 
+def test_html_pages_of_many_kinds():
+    para = "<p>A paragraph of the article, long enough to be one.</p>"
+    text = "A paragraph of the article, long enough to be one."
+    list_ = "<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul>"
+    cases = [
+        ("<div class='search-results-article'>" + para + "</div>", text),  # class names that only hold a word of a role
+        ("<article>" + para + "<div class='share-price'>12.5</div><div id='notice-period'>3 weeks</div></article>", text + "\n12.5\n3 weeks"),
+        ("<form><div>" + para + "</div><select><option>x</option></select><button>go</button></form>", text),  # a frame
+        (para * 3 + "<form><label>Your name</label><input></form>", "\n".join([text] * 3)),
+        ("<article>" + para + "</article><article><p>Another, shorter.</p></article>", text + "\nAnother, shorter."),
+        (para + "<footer>(c)</footer><p>Second block.</p>", text + "\nSecond block."),
+        ("<nav><a>x</a></nav><p>Short.</p>", "Short."),
+        ("<div class='comment-list'>" + para + "</div><div role=contentinfo>c</div><div class='ad-banner-top'>buy</div><p>Text.</p>", "Text."),
+        ("<article>" + para + "<article class=comment><p>Nice!</p></article></article>", text),
+        # what the distribution of line lengths decides: lists of links, outside and inside a marked article
+        ("<div>" + list_ + "</div><div>" + para * 3 + "</div><div>" + list_ + "</div>", "\n".join([text] * 3)),
+        ("<article>" + para + list_ + para + "<p><a>Source</a></p></article>", text + "\n" + text + "\nSource"),
+        ("<p>Hi</p>" + list_ + para * 3, "\n".join([text] * 3)),  # a scrap far below the page's lines
+        ("<h2><a>Title</a></h2>" + para + "<p><a>a link between</a></p>" + para, "Title\n" + text + "\na link between\n" + text),
+        ("<p>2 < 3 &#233;&nbsp;&eacute; &amp;amp;</p>", "2 < 3 é é &amp;"),
+    ]
+    for page, want in cases:
+        assert html_main.main_text(page) == want, page
+
+
+def test_html_stretches_against_all_windows():
+    draw = random.Random(3)
+    W = html_main.WINDOW
+    for _ in range(400):
+        size = [draw.choice([0, 0, 0, 1, 4, 9, 30, 80]) for _ in range(draw.randrange(1, 25))]
+        found = [html_main.Line(f"t{i}", n, n == 0, 0, 0, 0) for i, n in enumerate(size)]
+        some = sorted(n for n in size if n)
+        level = min(html_main.LEAST, html_main.LEVEL * some[len(some) // 2]) if some else 0
+        sums = [sum(size[max(0, i - W + 1) : i + 1]) for i in range(len(size))]  # windows by their last line
+        want, i = [], 0
+        while i < len(size):
+            if not sums[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(size) and sums[j]:
+                j += 1
+            if max(sums[i:j]) >= level:
+                want += [f"t{k}" for k in range(i, j) if size[k]]
+            i = j
+        assert html_main.between(found) == want
+
+
+def leaks_by_hand(texts, items):
+    """The rules of decontaminate.py, one window after the other."""
+    import regex
+
+    D = decontaminate
+
+    def raw(t):
+        t = regex.sub(r"[_\s\x85\p{Z}]+", " ", t or "")
+        t = regex.sub(r"(?<=\p{N})[.,:](?=\p{N})", "_", t)
+        return regex.sub(r"(?<=\p{N})(?=\p{L})", " ", t)
+
+    def split(t, names):
+        t = raw(t)
+        low = [w for w in regex.split(r"[^\p{L}\p{N}_]+", t.lower()) if w]
+        spans = [m.span() for m in regex.finditer(r"[\p{L}\p{N}_]+", t)]
+        out = []
+        for k, (a, b) in enumerate(spans):
+            w = t[a:b]
+            opens = not regex.match(r"[\p{Ll}\p{N},;] ", t[max(0, a - 2) : a] + "") or a < 2
+            if names and regex.fullmatch(r"\p{Lu}\p{Ll}+", w) and not (opens and w in D.ORDINARY.split("|")):
+                out.append(D.NAME)
+            elif regex.fullmatch(r"\p{N}[\p{N}_]*", w):
+                out.append(D.NUMBER)
+            elif out and out[-1] == D.NUMBER and t[spans[k - 1][1] : a] == " " and regex.fullmatch(rf"(?i)(?:{D.UNITS})", w):
+                out.append(D.UNIT)
+            else:
+                out.append(w.lower())
+        return out, low
+
+    got = {}
+    for i, t in texts:
+        dw, dr = split(t, True)
+        for j, it in items:
+            align, total = collections.defaultdict(dict), 0
+            for names in (True, False):
+                iw, ir = split(it, names)
+                n = min(D.WINDOW, len(iw))
+                total = len(iw) - n + 1
+                for a in range(total if n else 0):
+                    for b in range(len(dw) - n + 1):
+                        if iw[a : a + n] != dw[b : b + n]:
+                            continue
+                        pairs = [(x, y) for w, x, y in zip(iw[a:], ir[a : a + n], dr[b:]) if w in (D.NUMBER, D.UNIT, D.NAME)]
+                        same = all(x == y for x, y in pairs)
+                        if n - len(pairs) >= D.LITERALS or same:
+                            align[b - a][a, names] = (same, pairs)
+            ats, changed = set(), set()
+            for hits in align.values():
+                every = {p for _, ps in hits.values() for p in ps}
+                steady = len({x for x, _ in every}) == len(every)
+                for (a, _), (same, ps) in hits.items():
+                    if steady or same:
+                        ats.add(a)
+                        changed |= {p for p in ps if p[0] != p[1]}
+            if ats and (len(ats) >= D.COVER * total or len(ats) >= D.RUN):
+                got[i, j] = (len(ats), "reparameterised" if changed else "same values")
+    return got
+
+
 def test_decontamination(spark, docs, empty):
     item = "A train leaves Paris at 9 and covers 240 km in 3 hours, then waits 9 minutes before the next train leaves the old station"
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "tiny probe text"), (10, "")], "item_id bigint, text string")
+    story = "Alice has 3 apples. Bob gives her 5 more. How many apples does she have now?"
+    capital = "What is the capital of France?"
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12"
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "tiny probe text"), (10, ""), (11, story), (12, capital), (13, numbers), (7, item)], "item_id bigint, text string")
     other = item.replace("Paris", "Lyon").replace("9", "7").replace("240", "500")
-    mixed = item.replace("at 9", "at 6")
-    texts = [(1, "Before that. " + item + ". After."), (2, "so " + other), (3, prose(80)), (4, "see the tiny probe text"), (5, None), (6, " ".join(item.split()[:9]) + " and nothing else"), (6, " ".join(item.split()[:9]) + " and nothing else"), (8, "so " + mixed)]
-    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaked_items(spark.createDataFrame(texts, "doc_id bigint, text string"), bench).collect()}
-    assert got[1, 7] == "same values" and got[2, 7] == "reparameterised" and set(got) - {(8, 7)} <= {(1, 7), (2, 7), (4, 9)} and (4, 9) in got
+    texts = [(1, "Before that. " + item + ". After."), (2, "so " + other), (3, prose(80)), (4, "see the tiny probe text"), (5, None), (6, " ".join(item.split()[:9]) + " and nothing else"), (6, " ".join(item.split()[:9]) + " and nothing else")]
+    texts += [(8, "so " + item.replace("at 9", "at 6")), (9, "Carol has 7 apples. David gives her 9 more. How many apples does she have now?"), (10, story.lower()), (11, story.replace(" ", "\n")), (12, story.upper())]
+    texts += [(13, "Paris is the capital of France."), (14, "What is the capital of Spain?"), (15, " ".join(map(str, range(20, 400)))), (16, "0 " + numbers), (17, "word " * 200_000 + item), (18, item.replace("Paris", "Lyon").replace("240", "500").replace("9 minutes", "8 minutes")), (None, item)]
+    got = {(r.doc_id, r.item_id): (r.matched, r.kind) for r in decontaminate.leaked_items(spark.createDataFrame(texts, "doc_id bigint, text string"), bench).collect()}
+    short = [(i, t) for i, t in texts if len(t or "") < 10_000]
+    want = leaks_by_hand(short, [(7, item), (9, "tiny probe text"), (11, story), (12, capital), (13, numbers)])
+    assert {k: v for k, v in got.items() if k[0] != 17} == want and got[17, 7] == want[1, 7]
+    kinds = {k: v[1] for k, v in want.items()}
+    assert kinds[1, 7] == "same values" and kinds[2, 7] == "reparameterised" and kinds[8, 7] == "same values"  # 8: one 9 of two is another number
+    assert kinds[9, 11] == "reparameterised" and kinds[10, 11] == kinds[11, 11] == kinds[12, 11] == "same values"
+    assert kinds[14, 12] == "reparameterised" and (13, 12) not in kinds and (15, 13) not in kinds and (16, 13) in kinds and (6, 7) not in kinds
     left = decontaminate.drop_leaks(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count()
     assert decontaminate.leaked_items(empty, bench).isEmpty() and decontaminate.leaked_items(docs, bench.limit(0)).isEmpty()
