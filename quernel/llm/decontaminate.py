@@ -47,40 +47,42 @@ def _tokens(text: Column) -> Column:
 def raw_tokens(text: Column) -> Column:
     """Words and numbers of a text on one line; a decimal is one token, a number and its unit are two."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\s\x{85}\p{Z}]+", " ")
-    text = F.regexp_replace(text, r"(?<=\p{N})[.,:](?=\p{N})", "_")
-    return F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
+    text = F.regexp_replace(text, r"[.,:](?<=\p{N}[.,:])(?=\p{N})", "_")  # patterns begin with what is rare
+    return F.regexp_replace(text, r"(\p{N})(?=\p{L})", "$1 ")
 
 
 def template(raw: Column, names: bool = True) -> Column:
     """raw_tokens() with placeholders, in lower case; the same number of tokens. names: with placeholders for them."""
     text = raw
     if names:
-        text = F.regexp_replace(raw, rf"(?<![\p{{L}}\p{{N}}_])(?=\p{{Lu}}\p{{Ll}})(?:(?<=[\p{{Ll}}\p{{N}},;] )|(?!(?:{ORDINARY})(?![\p{{L}}\p{{N}}_])))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}_])", NAME)
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])\p{N}[\p{N}_]*(?![\p{L}\p{N}_])", NUMBER)
-    return F.lower(F.regexp_replace(text, rf"(?i)(?<=(?<![\p{{L}}\p{{N}}]){NUMBER} )(?:{UNITS})(?![\p{{L}}\p{{N}}_])", UNIT))
+        text = F.regexp_replace(raw, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}_])(?:(?<=[\p{{Ll}}\p{{N}},;] )|(?!(?:{ORDINARY})(?![\p{{L}}\p{{N}}_])))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}_])", NAME)
+    text = F.regexp_replace(text, r"(?=\p{N})(?<![\p{L}\p{N}_])[\p{N}_]+(?![\p{L}\p{N}_])", NUMBER)
+    return F.lower(F.regexp_replace(text, rf"{NUMBER}(?<![\p{{L}}\p{{N}}]{NUMBER}) (?i:{UNITS})(?![\p{{L}}\p{{N}}_])", f"{NUMBER} {UNIT}"))
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows without words and raw, with key, at (from 0) and seen for each window of size tokens; seen: its raw tokens if it has slots."""
+    """rows without words and raw, with key, at (from 0) and seen for each window of size tokens; seen: its raw tokens if it has slots and the key doesn't hold them."""
     n = F.size("words")
     every = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
     cut_out = lambda c, i: F.slice(c, i + 1, F.lit(size))
-    slots = lambda i: F.when(F.col("slotted"), F.size(F.filter(cut_out("words", i), lambda w: w.startswith("_")))).otherwise(0)
+    slots = lambda i: F.when(F.col("slotted"), F.size(F.array_remove(cut_out("is_slot", i), False))).otherwise(0)
     each = F.transform(every, lambda i: F.struct(i.alias("at"), slots(i).alias("n")))
     few = lambda x: x["n"] > F.lit(max(0, size - LITERALS))
     keyed = lambda x: F.when(few(x), F.xxhash64(cut_out("raw", x["at"]), F.lit(1))).otherwise(F.xxhash64(cut_out("words", x["at"])))
-    made = F.transform(each, lambda x: F.struct(keyed(x).alias("key"), x["at"].alias("at"), F.when(x["n"] > 0, cut_out("raw", x["at"])).alias("seen")))
-    kept = [c for c in rows.columns if c not in ("words", "raw", "slotted")]
+    made = F.transform(each, lambda x: F.struct(keyed(x).alias("key"), x["at"].alias("at"), F.when((x["n"] > 0) & ~few(x), cut_out("raw", x["at"])).alias("seen")))
+    kept = [c for c in rows.columns if c not in ("words", "raw", "is_slot", "slotted")]
     return rows.select(*kept, F.inline(made))
 
 
 def _split(rows: DataFrame, text_col: str, names: bool = True) -> DataFrame:
-    """rows with words, raw and slotted (is there any placeholder) in place of the text."""
+    """rows with words, raw, is_slot (of each token) and slotted (is there any placeholder) in place of the text."""
     kept = [c for c in rows.columns if c != text_col]
     made = rows.select(*kept, raw_tokens(F.col(text_col)).alias("plain")).select(*kept, "plain", template(F.col("plain"), names).alias("mould"))
     parts = F.struct(_tokens(F.col("mould")).alias("words"), _tokens(F.lower("plain")).alias("raw"), F.col("mould").contains("_").alias("slotted"))
     # an explode of one element keeps the optimizer from moving the split into the work on each window
-    return made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
+    split = made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
+    flags = F.struct(F.transform("words", lambda w: w.startswith("_")).alias("is_slot"), "words", "raw", "slotted")
+    return split.select(*kept, F.explode(F.array(flags)).alias("p")).select(*kept, "p.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
