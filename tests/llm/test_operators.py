@@ -211,10 +211,71 @@ def test_class_lm(docs, empty):
     want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
     got = class_lm.score(docs).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got) and class_lm.score(empty).isEmpty()
-    # probabilities of the next class, and of the words of a class, sum to one
-    of = class_lm.exchange(np.kron(np.eye(4), np.ones((8, 8))) * 50, classes=4, sweeps=20)
-    assert all(len(set(of[k * 8 : k * 8 + 8])) == 1 for k in range(4))
+    assert class_lm.score(empty).isEmpty()
+
+
+def test_class_lm_scores_by_hand(spark):
+    """score against the forward algorithm over single words, with the classes that the model has."""
+    draw = random.Random(8)
+    kinds = [["dog", "cat", "cow"], ["runs", "eats", "sleeps"], ["here", "there"]]
+    rows = [(i, " ".join(draw.choice(k) for _ in range(draw.randrange(4)) for k in kinds) + (f" only{i} new{i}" if i % 4 == 0 else "")) for i in range(300)]
+    rows += [(900, None), (901, "Dog  dog\ncat"), (901, "Dog  dog\ncat"), (902, "x " * 2000 + "w" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = [(i, (t or "").lower().encode().split() + [b"\n"]) for i, t in rows]
+    train = spark.createDataFrame([(t.encode() if t else None,) for i, t in rows if not held(i)], "text binary")
+    size = dict(clustered=6, classes=4, frequent=9, often=1)
+    model = class_lm.Model(train, **size)
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    rest = {r.h: (r["c"], r["class"]) for r in model.rest.read().collect()}
+    # every training word has its count and a class; those outside the exchange the one that fits their contexts best
+    assert len(model.index) == 6 and {class_lm.word_hash(w): c[w] for w in c if w not in model.index} == {h: n for h, (n, _) in rest.items()}
+    of = {w: int(model.of[i]) for w, i in model.index.items()}
+    n, k = model.n + 0.5, 4
+    gain = collections.defaultdict(lambda: np.zeros(k))
+    for i, ws in tokens:
+        if not held(i):
+            seq = [of[b"\n"], *[of.get(w, k) for w in ws]]
+            for a, w, b in zip(seq, ws, seq[2:]):
+                if w not in of:
+                    gain[w] += np.log(n[a] / n.sum(axis=0))[:k] + np.log(n[:, b] / n.sum(axis=1))[:k]
+    for w, g in gain.items():
+        assert g[rest[class_lm.word_hash(w)][1]] == pytest.approx(g.max(), abs=1e-6)
+    of |= {w: rest[class_lm.word_hash(w)][1] for w in c if w not in of}
+    steps, inside, words_in = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for w in c:
+        words_in[of[w]] += 1
+    for i, ws in tokens:
+        if not held(i):
+            seq = [of[b"\n"], *[of[w] for w in ws]]
+            for a, b in zip(seq, seq[1:]):
+                steps[a, b] += 1
+    inside = steps.sum(axis=0)
+    step, room = (steps + 0.5) / (steps.sum(axis=1, keepdims=True) + 0.5 * k), inside + 0.5 * (words_in + 1)
+    want = []
+    for i, ws in tokens:
+        state, log = np.eye(k)[of[b"\n"]], 0.0
+        for w in ws:
+            state = state @ step * ((c[w] + 0.5) / room) * ([j == of[w] for j in range(k)] if w in c else 1)
+            log, state = log + math.log10(state.sum()), state / state.sum()
+        want.append((i, round(log, 6)))
+    got = class_lm.score(docs, **size).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_exchange():
+    blocks = np.kron(np.roll(np.eye(4), 1, axis=1), np.ones((8, 8))) * 50
+    pairs = np.zeros((33, 33))
+    pairs[:32, :32] = blocks
+    of = class_lm.settle(pairs, 4)
+    assert all(len(set(of[i * 8 : i * 8 + 8])) == 1 for i in range(4)) and len(set(of)) == 5
+    # a sweep that begins with a few known words finds the classes of the others
+    known = np.where(np.arange(33) % 8 < 2, of, 4)
+    member = np.eye(5)[known]
+    moved = class_lm.sweep(known, pairs.T @ member, pairs @ member, 4)
+    assert (moved == of).all()
+    both = lambda x: np.eye(5)[x].T @ pairs @ np.eye(5)[x]
+    assert class_lm.likelihood(both(moved)) > class_lm.likelihood(both(known))
 
 
 def test_sharding(docs, empty, spark):
