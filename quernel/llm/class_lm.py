@@ -158,9 +158,9 @@ def neighbours(table: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(seen)
         yield _batch("at n", at, seen[at])
 
-    got = table.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 2 * (CLUSTERED + 1) * (CLASSES + 1) rows at most
+    got = table.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2 * (CLUSTERED + 1) * (CLASSES + 1) rows at most
     out = np.zeros(2 * width * kinds)
-    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
     out = out.reshape(2, width, kinds)
     return out[0], out[1]
 
@@ -236,11 +236,11 @@ def sweep(of: np.ndarray, before: np.ndarray, after: np.ndarray, classes: int) -
 def exchange(table: DataFrame, width: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """Class of each word of a table of bigrams (the last one: classes, for all others), and the bigrams of classes."""
     few = min(SETTLED + 1, width)
-    cell = lambda c: F.when(F.col(c) < few - 1, F.col(c)).otherwise(few - 1)
+    cell = lambda c: F.when(F.col(c) < few - 1, F.col(c).cast("int")).otherwise(few - 1)
     small = table.select(F.floor(F.col("cell") / width).alias("a"), (F.col("cell") % width).alias("b"), "n").select(cell("a").alias("a"), cell("b").alias("b"), "n")
-    got = small.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # (SETTLED + 1)^2 rows at most
+    got = small.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # (SETTLED + 1)^2 rows at most
     pairs = np.zeros((few, few))
-    pairs[got["a"].to_numpy(np.int64), got["b"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    pairs[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
     of = np.full(width, classes)
     of[: few - 1] = settle(pairs, classes)[:-1]
     before, after = neighbours(table, of)
@@ -338,7 +338,8 @@ def common_words(table: DataFrame, most: int = FREQUENT) -> tuple[list[bytes], n
         bound = s
     if bound is None:
         return [], np.zeros(0)
-    rows = sorted(((-r["c"], bytes(r["word"])) for r in table.filter(step >= bound).collect()))
+    got = table.filter(step >= bound).toArrow()
+    rows = sorted(zip((-c for c in got["c"].to_pylist()), got["word"].to_pylist()))
     return [w for _, w in rows], np.array([-c for c, _ in rows], float)
 
 
@@ -362,11 +363,11 @@ class Model:
         self.rest = Stored(induced(train, self.index, self.of, self.n, self.total), "classes")
         wanted = {word_hash(w): w for w in words if w not in self.index}
         hashes = spark.createDataFrame(pd.DataFrame({"h": np.array(list(wanted), np.int64)})) if wanted else spark.createDataFrame([], "h bigint")
-        found = self.rest.read().join(F.broadcast(hashes), "h", "left_semi").toPandas()  # FREQUENT rows at most
+        found = self.rest.read().join(F.broadcast(hashes), "h", "left_semi").toArrow()  # FREQUENT rows at most
         #: word -> (place in counts and classes)
-        self.words = [*[w for w in chosen if w in count_of], *[wanted[h] for h in found["h"].tolist()]]
-        self.counts = np.array([count_of[w] for w in self.words[: len(self.words) - len(found)]] + found["c"].tolist(), float)
-        self.classes = np.array([self.of[self.index[w]] for w in self.words[: len(self.words) - len(found)]] + found["class"].tolist(), np.int64)
+        self.words = [*[w for w in chosen if w in count_of], *[wanted[h] for h in found["h"].to_pylist()]]
+        self.counts = np.array([count_of[w] for w in self.words[: len(self.words) - len(found)]] + found["c"].to_pylist(), float)
+        self.classes = np.array([self.of[self.index[w]] for w in self.words[: len(self.words) - len(found)]] + found["class"].to_pylist(), np.int64)
         by_class = self.rest.read().groupBy("class").agg(F.count("*").alias("v")).collect()  # one row for each class
         self.words_in = np.bincount(self.of[[self.index[w] for w in chosen if w in count_of]], minlength=classes).astype(float)[:classes]
         for r in by_class:
