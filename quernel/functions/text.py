@@ -122,6 +122,12 @@ def prefixes(model_id: Column) -> tuple[Column, Column]:
     return query, passage
 
 
+def prefix_pair(model_id: str) -> tuple[str, str]:
+    """prefixes() of one name outside a plan."""
+    name = model_id.lower()
+    return next(((q, p) for parts, q, p in PREFIXES if any(x in name for x in parts)), ("", ""))
+
+
 def max_chars(n_ctx: Column, prefix: Column) -> Column:
     """Characters of an input that fit beside a prefix: three a token, 1536 where the context is unknown."""
     return F.when(n_ctx > 0, 3 * n_ctx).otherwise(F.lit(1536)) - F.octet_length(prefix)
@@ -131,6 +137,7 @@ def pretty_bytes(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.format_string("%.1fGB", n / (1 << 30))).otherwise(F.concat(F.floor(n / (1 << 20) + 0.5).cast("string"), F.lit("MB")))
 
 
+# Patterns of model files' names.
 SPLIT_PART = r"-\d{5}-of-\d{5}$"
 
 
@@ -149,6 +156,7 @@ def model_tag(name: Column) -> Column:
     return F.when(name.rlike(r"(?i)[-_]A\d+B\b"), "MoE").when(name.rlike(r"(?i)(^|[-_])R1([-_]|$)"), "reasoning").otherwise("")
 
 
+# Bytes of a billion parameters, and bands by bytes and by billions of parameters.
 BYTES_PER_BILLION = 0.57 * (1 << 30)
 BANDS = [("Fast", 8 << 30, 14.0), ("Balanced", 25 << 30, 44.0), ("Best quality", None, None)]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.vector import dot
 from quernel.operators.lexical import DEPTH, ranked
+from quernel.runtime import cut
 
 SAMPLE, PAIRS, GAP = 96, 20, 4
 MIN_Z = 2.0
@@ -18,7 +19,11 @@ def strided_sample(embedded: DataFrame, size: int = SAMPLE) -> DataFrame:
 
     Ranks come from counts by document, so that no task numbers the corpus row by row."""
     docs = embedded.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = docs.select("doc_id", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    parts = embedded.sparkSession.sparkContext.defaultParallelism
+    docs = cut(docs.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = docs.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("offset"))  # one row for each part
+    before = docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + earlier(Window.partitionBy("part").orderBy("doc_id"))).alias("before"))
     total = F.broadcast(docs.agg(F.sum("n").alias("m")))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no")) - 1 + F.col("before")
     step = F.greatest(F.lit(1), F.floor(F.col("m") / size))

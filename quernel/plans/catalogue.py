@@ -205,11 +205,12 @@ def search_batch(spark, sf_dir):
     return hybrid.search_batch(many, *index(spark, sf_dir), 4).select("query_id", "rank", "doc_id", "chunk_no", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_HYBRID} SELECT string_agg('[' || rank || '] doc-' || doc_id, ' ' ORDER BY rank) AS block, list(DISTINCT doc_id) IS NOT NULL AS found FROM capped")
+_WHITE = " || ".join(f"chr({c})" for c in [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
+@query(f"WITH {_HYBRID} SELECT string_agg('[' || rank || '] doc-' || doc_id || chr(10) || trim(text, {_WHITE}), chr(10) || chr(10) ORDER BY rank) AS block FROM capped JOIN passages USING (doc_id, chunk_no)")
 def grounding_block(spark, sf_dir):
-    rows = _hybrid(spark, sf_dir).select("query_id", "rank", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit("").alias("text"))
-    got = hybrid.grounding(rows)
-    return got.select(F.regexp_replace(F.regexp_replace("block", "\n\n+", " "), r"\s+$", "").alias("block"), F.lit(True).alias("found"))
+    return hybrid.grounding(hybrid.hits(_hybrid(spark, sf_dir), passages(spark, sf_dir))).select("block")
 
 
 @query(f"WITH {_HYBRID}, best AS (SELECT doc_id, min(rank) AS rank FROM capped GROUP BY doc_id) SELECT string_agg('doc-' || doc_id, ',' ORDER BY rank) AS sources FROM best")

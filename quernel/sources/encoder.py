@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.vector import hash_encode
+from quernel.functions.text import prefix_pair
 from quernel.runtime import ship_package
 
 BATCH = 4
@@ -62,11 +63,12 @@ def unit(v: list[float]) -> list[float]:
 
 @dataclass
 class HttpEncoder:
-    """Client of a server with /v1/models and /v1/embeddings; probe() fills in model, dim and context."""
+    """Client of a server with /v1/models and /v1/embeddings; probe() fills in model, dim, context and, where none are
+    given, the prefixes that go with the model's name."""
 
     base: str
-    query_prefix: str = ""
-    doc_prefix: str = ""
+    query_prefix: str | None = None
+    doc_prefix: str | None = None
     model: str = ""
     dim: int = 0
     n_ctx: int = 0
@@ -92,6 +94,9 @@ class HttpEncoder:
 
     def probe(self) -> HttpEncoder:
         self.model, self.n_ctx = self.server_model()
+        query, passage = prefix_pair(self.model)
+        self.query_prefix = query if self.query_prefix is None else self.query_prefix
+        self.doc_prefix = passage if self.doc_prefix is None else self.doc_prefix
         self.dim = len(self._once(["probe"], PROBE_SECONDS)[0])
         return self
 
@@ -124,8 +129,9 @@ class HttpEncoder:
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         """Vectors of passages, None where the server refuses one."""
-        most = max(0, self.max_chars(self.doc_prefix))
-        inputs = [self.doc_prefix + t[:most] for t in texts]
+        prefix = self.doc_prefix or ""
+        most = max(0, self.max_chars(prefix))
+        inputs = [prefix + t[:most] for t in texts]
         out: list[list[float] | None] = []
         for i in range(0, len(inputs), BATCH):
             part = inputs[i : i + BATCH]
@@ -138,8 +144,8 @@ class HttpEncoder:
     def embed_query(self, text: str) -> list[float] | None:
         """None if the server doesn't answer in time; the search is lexical then."""
         try:
-            most = max(0, self.max_chars(self.query_prefix))
-            return self._once([self.query_prefix + text[:most]], QUERY_SECONDS)[0]
+            prefix = self.query_prefix or ""
+            return self._once([prefix + text[: max(0, self.max_chars(prefix))]], QUERY_SECONDS)[0]
         except (Refused, Transient):
             return None
 
