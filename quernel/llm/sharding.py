@@ -48,10 +48,11 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFra
 
 
 def _votes(chunks: DataFrame) -> DataFrame:
-    """chunks with to: the shard that holds most rows of the text; ties fall by a hash of text and shard."""
-    here = Window.partitionBy("digest", "label")
-    text = Window.partitionBy("digest")
-    return chunks.withColumn("votes", F.sum("n").over(here)).withColumn("to", F.max(F.struct("votes", F.xxhash64("digest", "label").alias("tie"), "label")).over(text)["label"])
+    """chunks with to: the shard that holds most rows of the text, by a join of the chunks with the grouped votes of their
+    text, which is the node that links them; ties fall by a hash of text and shard."""
+    votes = chunks.groupBy("digest", "label").agg(F.sum("n").alias("votes"))
+    best = votes.groupBy("digest").agg(F.max(F.struct("votes", F.xxhash64("digest", "label").alias("tie"), "label")).alias("best"))
+    return chunks.join(best.select("digest", F.col("best.label").alias("to")), "digest")
 
 
 def quotas(flows: np.ndarray, loads: np.ndarray, capacity: float) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 A document is good when its label says quality 1 and toxic 0. The evidence of a document is a log Bayes
 factor from its whole text: a logistic regression over measures of style and over a lexicon of words that
-stand out in bad documents. Both are fitted on at most TRAIN labelled documents, the lexicon on one half and
+stand out in bad documents; words have places in it by their hash, so it has a bound and leaves out none. Both are fitted on at most TRAIN labelled documents, the lexicon on one half and
 the regression on the other.
 
 Sites: the host and the path of a URL in `source`; where `source` is no URL it is the host, and the language
@@ -12,7 +12,8 @@ spread between hosts and between paths of a host, so sparse sites stay near thei
 of a document are its path's odds times its Bayes factor; it is kept from KEEP on.
 
 Defined cases: a null text counts as empty; null source or language is a site of its own; without labels of
-both kinds all evidence is 0 and all rates are PRIOR, so all documents stay; labels without a document and
+both kinds all evidence is 0 and all rates are PRIOR, so all documents stay; texts are read whole, a very long one
+is one row; equal posteriors have equal decisions, and KEEP itself keeps; labels without a document and
 repeated rows do no harm; a doc_id labelled twice counts twice; an empty table gives an empty result; other
 columns are ignored, or kept by keep_good, whatever their names.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from quernel.runtime import broadcast_if_small, cut, fresh, ship_package
 
 #: Labelled documents that the text model is fitted on, at most.
 TRAIN = 20_000
-#: Words in the lexicon, at most; documents of bad kind that a word needs.
-LEXICON, LEAST = 20_000, 4
+#: Places of the lexicon, which words share by their hash; documents of bad kind that a place needs.
+LEXICON, LEAST = 1 << 20, 4
 PRIOR = 0.8
 KEEP = 0.4
 #: Bounds of a shrinkage strength, in documents.
@@ -43,8 +45,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def words(text: str) -> set[int]:
+    """Places of a text's words in the lexicon."""
+    return {zlib.crc32(w.encode()) % LEXICON for w in set(_WORD.findall(text.lower()))}
 
 
 def style(text: str) -> list[float]:
@@ -62,7 +65,7 @@ def style(text: str) -> list[float]:
     return [0.0, upper / n, again / n, symbols / size, tail / n, alone / n, 1 - len(set(tokens)) / n, 1 - len(set(lines)) / len(lines), sum(map(str.isdigit, text)) / size, min(1.0, math.log1p(n) / 10)]
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+def features(text: str, lexicon: dict[int, float]) -> list[float]:
     """Style, and the strongest, the second and the summed weights of the text's words in the lexicon."""
     hit = sorted((lexicon[w] for w in words(text) if w in lexicon), reverse=True) if lexicon else []
     m = style(text)
@@ -87,7 +90,7 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.5) -> n
 class Evidence:
     """The fitted text model: log Bayes factor of good against bad."""
 
-    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, prior: float):
+    def __init__(self, lexicon: dict[int, float], weights: np.ndarray, prior: float):
         self.lexicon, self.weights, self.prior = lexicon, weights, prior
 
     def __call__(self, text: str | None) -> float:
@@ -113,13 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Evidence:
     def split(batches):
         for batch in batches:
             told = [(w, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told], pa.string()), pa.array([int(g) for _, g in told], pa.int64())], names=["word", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told], pa.int64()), pa.array([int(g) for _, g in told], pa.int64())], names=["word", "good"])
 
     bad_n, good_n = counts[True, False], counts[True, True]
-    seen = rows.filter("half").select("text", "good").mapInArrow(split, "word string, good bigint").groupBy("word").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
+    seen = rows.filter("half").select("text", "good").mapInArrow(split, "word bigint, good bigint").groupBy("word").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
     weight = F.log((F.col("b") + 0.2) / (bad_n + 0.4)) - F.log((F.col("g") + 0.2) / (good_n + 0.4))
     spread = F.sqrt(1 / (F.col("b") + 0.2) + 1 / (F.col("g") + 0.2))
-    top = seen.filter(F.col("b") >= LEAST).withColumn("w", weight - 1.0 * spread).filter("w > 0.5").orderBy(F.desc("w"), "word").limit(LEXICON).collect()
+    top = seen.filter(F.col("b") >= LEAST).withColumn("w", weight - 1.0 * spread).filter("w > 0.5").select("word", "w").collect()  # LEXICON rows at most, in practice thousands
     lexicon = {r["word"]: min(6.0, r["w"]) for r in top}
 
     def measure(batches):
