@@ -11,7 +11,8 @@ group as soon as these exceed the bound. Only a spanning set of links leaves the
 A bucket too large for memory is passed on unread: its entries are dealt again by the same law over the
 bits that are still free, until it is small; that is exact at every depth.
 
-Components: minimum labels with pointer jumping, as joins, the lineage cut after each round.
+Components: minimum labels with pointer jumping, as joins, each round kept as a table. One side of each
+join has a row for each key, so adaptive execution splits the other where a label holds many rows.
 
 Defined cases: a null, empty or white text has fingerprint zero and is linked like any other; fewer words
 than a shingle count as one shingle; a null doc_id comes after all others; repeated rows share a
@@ -23,11 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.skew import skew_join
-from quernel.runtime import broadcast_if_small, cut, fresh, ship_package
+from quernel.runtime import Stored, broadcast_if_small, cut, fresh, ship_package
 
 WORDS = 3
 BITS = 3
@@ -234,18 +236,24 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node it reaches), for every node of edges (u, v)."""
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    """node and root (the least node it reaches), for every node of edges (u, v).
+
+    Rounds go through files: a checkpoint hands on the planner's estimate of its size, which the joins multiply from
+    round to round to numbers of millions of digits."""
+    table = Stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    both = table.read()
+    held = Stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
     while True:
+        label = held.read().select("node", "root")
         of = label.select(F.col("node").alias("v"), "root")
         seen = both.join(of, "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = label.join(seen, "node", "left").join(jump, "root", "left")
-        label = cut(new.select("node", F.least("root", "low", "far").alias("next"), "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        if label.filter("moved").isEmpty():
-            return label.select("node", "root")
-        label = label.select("node", "root")
+        last, held = held, Stored(new.select("node", F.least("root", "low", "far").alias("next"), "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "labels")
+        last.drop()
+        if held.read().filter("moved").isEmpty():
+            table.drop()
+            return held.read().select("node", "root")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -328,122 +336,141 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 SIMILAR = 0.8
 TABLES, DRAWN = 20, 4
 LONG, RADIUS = 2, 36
+#: Texts, and shingles on average, of a block when groups of texts are compared in full.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _XOR = _mixed(np.arange(1, TABLES * DRAWN + 1, dtype=np.uint64))
 _ODD = _mixed(_XOR) | np.uint64(1)
 
 
-def forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of entries within RADIUS that span the graph of all such pairs. prints: n rows of LONG words.
-
-    Neighbours in Gray order are joined first, in several orders; then what isn't in the largest tree meets all others."""
-    n = len(prints)
-    above, out = list(range(n)), []
-
-    def top(x: int) -> int:
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in zip(i.tolist(), j.tolist()):
-            x, y = top(a), top(b)
-            if x != y:
-                out.append((a, b))
-                above[max(x, y)] = min(x, y)
-
-    apart = lambda a, b: np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    if n > 64:
-        for k in range(LONG):
-            order = np.argsort(gray_rank(prints[:, k]), kind="stable")
-            near = apart(prints[order[1:]], prints[order[:-1]]) <= RADIUS
-            join(order[:-1][near], order[1:][near])
-    label = np.array([top(x) for x in range(n)])
-    values, sizes = np.unique(label, return_counts=True)
-    for i in np.flatnonzero(label != values[np.argmax(sizes)]).tolist():
-        j = np.flatnonzero((apart(prints, prints[i]) <= RADIUS) & (label != label[i]))
-        join(np.full(len(j), i), j)
-    return out
+def neighbours(sketches: DataFrame) -> DataFrame:
+    """Pairs (key, u, v, apart), u < v, of texts next to each other in a bucket that is sorted by the Gray rank of one word of
+    their SimHashes. sketches: node, keys, ranks.
 
+    Buckets are ranges of one sorted table, so a large one lies in many tasks; the ends of tasks meet afterwards."""
+    flip = F.col("k") % LONG == 1
+    rank = [F.when(flip, F.col("ranks")[1 - k]).otherwise(F.col("ranks")[k]).alias(f"r{k}") for k in range(LONG)]
+    rows = sketches.select(F.posexplode("keys").alias("k", "key"), "node", "ranks").select("key", *rank, "node")
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Edges (u, v) that span the pairs which share a bucket and whose SimHashes are within RADIUS. sketches: node, keys, long."""
+    def told(key, u, v, value, part):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), pa.array(v), pa.array(value), pa.array(np.full(len(key), part, np.int64))], names=["key", "a", "b", "c", "part"])
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def solve(key, node, prints):
-            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(begins, len(key)))
-            many = sizes > 1
-            pairs = [(b + i, b + j) for b, s in zip(begins[many].tolist(), sizes[many].tolist()) for i, j in forest(prints[b : b + s])]
-            if pairs:
-                at = np.array(pairs)
-                u, v = node[at[:, 0]], node[at[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
+        part, last = 2 * TaskContext.get().partitionId(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            prints = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(LONG)], axis=1)
-            if held and held[-1][0][-1] != key[-1]:
-                key, node, prints = (np.concatenate([h[k] for h in held] + [x]) for k, x in enumerate((key, node, prints)))
-                held = []
-            last = key == key[-1]
-            if not held and not last.all():
-                yield from solve(key[~last], node[~last], prints[~last])
-            held.append((key[last], node[last], prints[last]))
-        if held:
-            yield from solve(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-
-    rows = sketches.select(F.explode("keys").alias("key"), "node", *[F.col("long")[k].alias(f"p{k}") for k in range(LONG)])
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+            rows = [np.asarray(batch.column(k)) for k in range(4)]
+            if last is None:
+                yield told(*(c[:1] for c in rows), part)
+            else:
+                rows = [np.concatenate(x) for x in zip(last, rows)]
+            last = [c[-1:] for c in rows]
+            key, r0, r1, node = rows
+            at = np.flatnonzero(key[1:] == key[:-1])
+            yield told(key[at], np.minimum(node[at], node[at + 1]), np.maximum(node[at], node[at + 1]), differing(r0[at], r0[at + 1]) + differing(r1[at], r1[at + 1]), -1)
+        if last is not None:
+            yield told(*last, part + 1)
+
+    got = cut(rows.repartitionByRange(F.col("key"), F.col("r0"), F.col("node")).sortWithinPartitions("key", "r0", "r1", "node").mapInArrow(run, "key bigint, a bigint, b bigint, c bigint, part bigint"))
+    ends = got.filter("part >= 0").withColumn("next", F.lead(F.struct("key", "a", "b", "c")).over(Window.orderBy("part")))  # two rows for each task
+    met = ends.filter("part % 2 = 1 AND key = next.key AND c <> next.c")
+    across = met.select("key", F.least("c", "next.c").alias("u"), F.greatest("c", "next.c").alias("v"), (_differ(F.col("a"), F.col("next.a")) + _differ(F.col("b"), F.col("next.b"))).cast("bigint").alias("apart"))
+    return got.filter("part < 0").select("key", F.col("a").alias("u"), F.col("b").alias("v"), F.col("c").alias("apart")).unionByName(across)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ between the patterns that have these Gray ranks."""
+    d = (a ^ b).view(np.uint64)
+    return np.bitwise_count(d ^ (d >> np.uint64(1))).astype(np.int64)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    d = a.bitwiseXOR(b)
+    return F.bit_count(d.bitwiseXOR(F.shiftrightunsigned(d, 1)))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (u, v) of similarity SIMILAR at least. sets: node, shingles."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    pairs = edges.join(side("u"), "u").join(side("v"), "v").select("u", "v", both.alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
+    return pairs.filter(F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
 def _resolve(batches):
-    """Sorted rows (piece, node, root, long, shingles) -> the links of similarity SIMILAR at least between roots of a piece."""
-
-    def solve(rows):
-        size = np.array([len(r["shingles"]) for r in rows])
-        begins = np.cumsum(size) - size
-        kinds, flat = np.unique(np.concatenate([np.array(r["shingles"], np.int64) for r in rows]), return_inverse=True)
-        names, label = np.unique([r["root"] for r in rows], return_inverse=True)
-        mine = np.zeros(len(kinds), np.int64)
-        for i in range(len(rows) - 1):
-            own = flat[begins[i] : begins[i] + size[i]]
+    """Sorted rows (piece, a, b, open, node, root, r0, r1, shingles) -> a spanning set of the links of similarity SIMILAR at
+    least between an open row and any other row of a block that has another root."""
+
+    def told(table: pa.Table):
+        open_, node, root, r0, r1 = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(3, 8))
+        lists = table.column(8).combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        kinds, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        begins = np.concatenate([[0], ends[:-1]])
+        label = np.unique(root, return_inverse=True)[1]
+        mine = np.zeros(len(kinds), np.int8)
+        found = []
+        for i in np.flatnonzero(open_).tolist():
+            j = np.flatnonzero((label != label[i]) & ~open_ & (differing(r0, r0[i]) + differing(r1, r1[i]) <= RADIUS))
+            if not len(j):
+                continue
+            own = flat[begins[i] : ends[i]]
             mine[own] = 1
-            both = np.add.reduceat(mine[flat[begins[i + 1] :]], begins[i + 1 :] - begins[i + 1])
+            both = np.array([mine[flat[begins[k] : ends[k]]].sum(dtype=np.int64) for k in j.tolist()])
             mine[own] = 0
-            for j in (i + 1 + np.flatnonzero((both >= SIMILAR * (size[i] + size[i + 1 :] - both)) & (label[i + 1 :] != label[i]))).tolist():
-                if label[i] != label[j]:
-                    label[label == label[j]] = label[i]
-                    yield rows[i]["node"], rows[j]["node"]
-
-    def told(rows):
-        found = list(solve(rows))
+            for k in j[both >= SIMILAR * (len(own) + ends[j] - begins[j] - both)].tolist():
+                if label[i] != label[k]:
+                    label[label == label[k]] = label[i]
+                    found.append((node[i], node[k]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    held: list[dict] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for r in batch.to_pylist():
-            if held and held[0]["piece"] != r["piece"]:
-                yield from told(held)
+        if not batch.num_rows:
+            continue
+        ids = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+        starts = [0, *(1 + np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1))).tolist(), len(ids)]
+        for lo, hi in zip(starts, starts[1:]):
+            if held and any(held[-1].column(k)[0].as_py() != ids[lo, k] for k in range(3)):
+                yield from told(pa.Table.from_batches(held))
                 held = []
-            held.append(r)
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from told(held)
+        yield from told(pa.Table.from_batches(held))
+
+
+def _pieces(pairs: DataFrame, sketches: DataFrame, root: DataFrame) -> DataFrame | None:
+    """node (a root) and root (its piece) for the roots of which some texts share a bucket and are within RADIUS; None if none do.
+
+    In each bucket the texts outside its most frequent root meet all its texts, in blocks of BLOCK."""
+    rows = pairs.select("key", F.explode(F.array("u", "v")).alias("node")).distinct().join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    by_root = cut(rows.groupBy("key", "root").agg(F.count("*").alias("n")))
+    mixed = cut(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", "n", F.col("top.root").alias("top")))
+    if mixed.isEmpty():
+        return None
+    rows = cut(rows.join(broadcast_if_small(mixed), "key").join(sketches.select("node", "ranks"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
+    all_ = rows.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("b"), "root", "ranks")
+    open_ = rows.filter("root <> top").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), F.col("root").alias("mine"), F.col("ranks").alias("of"))
+    near = sum((_differ(F.col("ranks")[k], F.col("of")[k]) for k in range(LONG)), F.lit(0)) <= RADIUS
+    met = all_.join(open_, ["key", "b"]).filter((F.col("root") != F.col("mine")) & near).select("key", F.explode(F.array("root", "mine")).alias("root")).distinct()
+    met = cut(met)
+    stars = met.join(met.groupBy("key").agg(F.min("root").alias("u")), "key").filter("root <> u").select("u", F.col("root").alias("v"))
+    return None if met.isEmpty() else components(stars)
 
 
 def similar(texts: DataFrame, words: int) -> DataFrame:
-    """node and root for the texts that are linked with another by similarity SIMILAR at least. texts: node (hash of the text), text."""
+    """node and root for the texts that are linked with another by similarity SIMILAR at least. texts: node (hash of the text), text.
+
+    Neighbours in the sorted buckets are confirmed first, for each text its nearest one and then those that are in different
+    groups still. What is left are texts that share a bucket with another group: these meet all texts of the groups in question."""
     ship_package(texts.sparkSession)
 
     def sketched(batches):
         for batch in batches:
             made = [sketch(shingles(t or b"", words)) for t in batch.column(1).to_pylist()]
-            lists = [pa.array([m[k].view(np.int64) for m in made], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "keys", "long"])
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in ([m[0] for m in made], [gray_rank(m[1]) for m in made])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "keys", "ranks"])
 
     def listed(batches):
         for batch in batches:
@@ -451,25 +478,39 @@ def similar(texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     texts = texts.select("node", F.col("text").cast("binary").alias("text"))
-    sketches = cut(texts.mapInArrow(sketched, "node bigint, keys array<bigint>, long array<bigint>").dropDuplicates(["node"]))
-    edges = cut(candidates(sketches))
-    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = cut(texts.join(broadcast_if_small(ends), "node", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    pairs = edges.join(side("u"), "u").join(side("v"), "v").select("u", "v", both.alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
-    told = cut(pairs.select("u", "v", (F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).alias("good")))
-    good = told.filter("good").select("u", "v")
-    if told.filter(~F.col("good")).isEmpty():
-        return components(good)
-    # where a spanning edge fails, another pair of its piece may still join the two sides
+    sets_of = lambda nodes: cut(texts.join(broadcast_if_small(nodes), "node", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    sketches = cut(texts.mapInArrow(sketched, "node bigint, keys array<bigint>, ranks array<bigint>").dropDuplicates(["node"]))
+    pairs = cut(neighbours(sketches))
+    edges = cut(pairs.filter(F.col("apart") <= RADIUS).groupBy("u", "v").agg(F.min("apart").alias("apart")))
+    sets = sets_of(cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+    nearest = edges.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "apart").groupBy("node").agg(F.min(F.struct("apart", "u", "v")).alias("e"))
+    first = cut(nearest.select("e.u", "e.v").distinct())
+    good = cut(confirmed(first, sets))
     root = components(good)
-    piece = components(edges).select("node", F.col("root").alias("piece"))
-    parts_of = cut(piece.join(root, "node", "left").select("node", "piece", F.coalesce("root", "node").alias("root")))
-    open_ = parts_of.groupBy("piece").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("piece")
-    rows = parts_of.join(open_, "piece", "left_semi").join(sets, "node").join(sketches.select("node", "long"), "node").select("piece", "node", "root", "long", "shingles")
-    more = cut(rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_resolve, "u bigint, v bigint"))
-    return components(good.unionByName(more))
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    parted = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
+    rest = cut(edges.select("u", "v").join(first, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left").filter(parted).select("u", "v"))
+    if not rest.isEmpty():
+        good = cut(good.unionByName(confirmed(rest, sets)))
+        root = components(good)
+    piece = _pieces(pairs, sketches, root)
+    if piece is None:
+        return root
+    piece = broadcast_if_small(piece.select(F.col("node").alias("root"), F.col("root").alias("piece")))
+    members = cut(sketches.select("node", "ranks").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(piece, "root"))
+    members = cut(members.join(sets_of(members.select("node")), "node"))
+    total = members.groupBy("piece", "root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("size"))
+    by_piece = total.groupBy("piece").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).alias("blocks")
+    rows = members.join(broadcast_if_small(cut(by_piece.select("piece", F.col("top.root").alias("top"), blocks))), "piece")
+    mine, every = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    tail = ["node", "root", *[F.col("ranks")[k].alias(f"r{k}") for k in range(LONG)], "shingles"]
+    # an open row meets each block of all rows, in the task of its own block of open rows
+    open_ = rows.filter("root <> top").select("piece", mine.alias("a"), every.alias("b"), F.lit(True).alias("open"), *tail)
+    held = cut(rows.filter("root <> top").select("piece", mine.alias("a")).distinct())
+    all_ = rows.join(broadcast_if_small(held), "piece").select("piece", "a", mine.alias("b"), F.lit(False).alias("open"), *tail)
+    more = open_.unionByName(all_).repartition("piece", "a", "b").sortWithinPartitions("piece", "a", "b").mapInArrow(_resolve, "u bigint, v bigint")
+    return components(good.unionByName(cut(more)))
 
 
 def keep_least_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

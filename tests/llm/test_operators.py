@@ -492,6 +492,30 @@ def test_near_copies_by_similarity(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A group around one text, in which many pairs fail, against all pairs; blocks are small, so groups lie in many."""
+    draw = random.Random(11)
+    base = ["w" + str(draw.randrange(3000)) for _ in range(120)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for at in draw.sample(range(120), 1 + k % 5):
+            w[at] = f"n{draw.randrange(40)}"
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                part = [part[b] if x == part[a] else x for x in part]
+    want = {min(i for i in range(len(texts)) if part[i] == p) for p in set(part)}
+    assert 1 < len(want) < 120
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_least_similar(docs).collect()) == sorted(want)
+
+
 def test_sharding_keeps_hot_texts_together(spark):
     text = F.when(F.col("id") < 500, "five").when(F.col("id") < 600, "ten").when(F.col("id") < 1000, F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).otherwise(F.col("id").cast("string"))
     rows = sharding.shard(spark.range(1600).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
