@@ -60,29 +60,34 @@ def template(raw: Column, names: bool = True) -> Column:
     return F.lower(F.regexp_replace(text, rf"{NUMBER}(?<![\p{{L}}\p{{N}}]{NUMBER}) (?i:{UNITS})(?![\p{{L}}\p{{N}}_])", f"{NUMBER} {UNIT}"))
 
 
-def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows without words and raw, with key, at (from 0) and seen for each window of size tokens; seen: its raw tokens if it has slots and the key doesn't hold them."""
-    n = F.size("words")
-    every = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    cut_out = lambda c, i: F.slice(c, i + 1, F.lit(size))
-    slots = lambda i: F.when(F.col("slotted"), F.size(F.array_remove(cut_out("is_slot", i), False))).otherwise(0)
-    each = F.transform(every, lambda i: F.struct(i.alias("at"), slots(i).alias("n")))
-    few = lambda x: x["n"] > F.lit(max(0, size - LITERALS))
-    keyed = lambda x: F.when(few(x), F.xxhash64(cut_out("raw", x["at"]), F.lit(1))).otherwise(F.xxhash64(cut_out("words", x["at"])))
-    made = F.transform(each, lambda x: F.struct(keyed(x).alias("key"), x["at"].alias("at"), F.when((x["n"] > 0) & ~few(x), cut_out("raw", x["at"])).alias("seen")))
-    kept = [c for c in rows.columns if c not in ("words", "raw", "is_slot", "slotted")]
-    return rows.select(*kept, F.inline(made))
+def windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows without words and raw, with size, key, at (from 0) and seen for each window of each size; seen: its raw tokens if it has slots and the key doesn't hold them. The key is null where the window runs over the end.
+
+    Tokens are hashed once, with a last bit that tells slots; keys are made of these numbers in generated code, and a
+    broadcast join slices tokens for its hits alone."""
+    kept = [c for c in rows.columns if c not in ("words", "raw")]
+    code = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(~1)).bitwiseOR(w.startswith("_").cast("long")))
+    coded = rows.select(*kept, "raw", code.alias("codes")).select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    each = coded.select(*kept, "raw", "size", "codes", F.posexplode_outer("codes").alias("at", "code"))
+    n = key = F.lit(None).cast("long")
+    for s in sizes:
+        of = [F.get("codes", F.col("at") + i) for i in range(s)]
+        mine = F.col("size") == s if len(sizes) > 1 else F.lit(True)
+        n = F.when(mine, sum(x.bitwiseAND(F.lit(1)) for x in of)).otherwise(n)
+        key = F.when(mine, F.xxhash64(*of)).otherwise(key)
+    own = F.slice("raw", F.col("at") + 1, F.col("size"))
+    few = F.col("n") > F.greatest(F.lit(0), F.col("size") - LITERALS)
+    whole = each.select(*kept, "raw", "size", "at", n.alias("n"), F.when(F.col("at") + F.col("size") <= F.size("codes"), key).alias("key"))
+    return whole.select(*kept, "size", F.when(few, F.xxhash64(own, F.lit(1))).otherwise(F.col("key")).alias("key"), "at", F.when((F.col("n") > 0) & ~few, own).alias("seen"))
 
 
 def _split(rows: DataFrame, text_col: str, names: bool = True) -> DataFrame:
-    """rows with words, raw, is_slot (of each token) and slotted (is there any placeholder) in place of the text."""
+    """rows with words and raw in place of the text."""
     kept = [c for c in rows.columns if c != text_col]
     made = rows.select(*kept, raw_tokens(F.col(text_col)).alias("plain")).select(*kept, "plain", template(F.col("plain"), names).alias("mould"))
-    parts = F.struct(_tokens(F.col("mould")).alias("words"), _tokens(F.lower("plain")).alias("raw"), F.col("mould").contains("_").alias("slotted"))
+    parts = F.struct(_tokens(F.col("mould")).alias("words"), _tokens(F.lower("plain")).alias("raw"))
     # an explode of one element keeps the optimizer from moving the split into the work on each window
-    split = made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
-    flags = F.struct(F.transform("words", lambda w: w.startswith("_")).alias("is_slot"), "words", "raw", "slotted")
-    return split.select(*kept, F.explode(F.array(flags)).alias("p")).select(*kept, "p.*")
+    return made.select(*kept, F.explode(F.array(parts)).alias("p")).select(*kept, "p.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -91,17 +96,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = _split(asked_items, "text").unionByName(_split(asked_items, "text", names=False))
     items = cut(items.filter(F.size("words") > 0).withColumn("span", F.least(F.lit(WINDOW), F.size("words"))).distinct())
     text = _split(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").withColumn("rid", F.monotonically_increasing_id())
-    hits = None
-    for span in [r["span"] for r in items.select("span").distinct().collect()]:  # WINDOW values at most
-        mine = items.filter(F.col("span") == span)
-        held = mine.select("*", (F.size("words") - span + 1).alias("windows"), F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
-        asked = windows(held, span).select("item", "item_id", "windows", "key", F.col("at").alias("item_at"), "item_words", "item_raw")
-        asked = cut(asked.withColumns({c: F.slice(c, F.col("item_at") + 1, F.lit(span)) for c in ("item_words", "item_raw")}).dropDuplicates(["item", "item_at", "key"]))
-        seen = windows(text, span).join(broadcast_if_small(asked, BENCH_ROWS), "key")
-        seen = seen.select("rid", "doc_id", "item", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "item_words", "item_raw", F.coalesce("seen", "item_raw").alias("doc_raw"))
-        hits = seen if hits is None else hits.unionByName(seen)
-    if hits is None:
+    spans = [r["span"] for r in items.select("span").distinct().collect()]  # WINDOW values at most
+    if not spans:
         return docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *[F.lit(0).cast(k).alias(c) for c, k in (("matched", "long"), ("windows", "long"), ("coverage", "double"), ("slots", "long"), ("changed", "long"))], F.lit("").alias("kind"), F.lit(0).cast("long").alias("rid"))
+    held = items.select("*", (F.size("words") - F.col("span") + 1).alias("windows"), F.col("words").alias("item_words"), F.col("raw").alias("item_raw"))
+    asked = windows(held, spans).filter((F.col("size") == F.col("span")) & F.col("key").isNotNull()).select("item", "item_id", "windows", "key", F.col("at").alias("item_at"), "span", "item_words", "item_raw")
+    asked = cut(asked.withColumns({c: F.slice(c, F.col("item_at") + 1, F.col("span")) for c in ("item_words", "item_raw")}).drop("span").dropDuplicates(["item", "item_at", "key"]))
+    # the explode of one element keeps the filters below out of the join, which then is generated code with the windows
+    hits = windows(text, spans).join(broadcast_if_small(asked, BENCH_ROWS), "key")
+    hits = hits.select("rid", "doc_id", "item", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "item_words", "item_raw", F.explode(F.array(F.coalesce("seen", "item_raw"))).alias("doc_raw"))
     slot = F.filter(F.arrays_zip(F.col("item_words").alias("t"), F.col("item_raw").alias("b"), F.col("doc_raw").alias("d")), lambda x: x["t"].isin(NUMBER, UNIT, NAME))
     hits = hits.withColumn("pairs", F.transform(slot, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))).withColumn("plain", F.size("item_words") - F.size("pairs"))
     hits = hits.withColumn("same", F.forall("pairs", lambda x: x["b"] == x["d"])).filter((F.col("plain") >= LITERALS) | F.col("same"))
