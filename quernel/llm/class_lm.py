@@ -450,25 +450,34 @@ def transitions(seqs: DataFrame, end: int, classes: int) -> np.ndarray:
 
 
 class _Over:
-    """log10 of the probability that a class follows another one over k unseen words, those included."""
+    """log10 of the probability that a class follows another one over k unseen words, those included.
+
+    Powers of the step over one unseen word come from squares, so a run of k words takes about log2(k) products."""
 
     def __init__(self, step: np.ndarray, unseen: np.ndarray):
-        self.hop = unseen[:, None] * step
-        self.last, self.scale, self.known = step, 0.0, {0: np.log10(step)}
-        self.k = 0
+        self.step = step
+        self.squares = [self._scaled(unseen[:, None] * step, 0.0)]
+        self.known = {0: np.log10(step)}
+
+    @staticmethod
+    def _scaled(x: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+        top = x.max()
+        return x / top, scale + np.log10(top)
 
     def log(self, k: int) -> np.ndarray:
-        if k < self.k and k not in self.known:  # a long run that was passed over
-            self.last, self.scale, self.k = 10 ** self.known[0], 0.0, 0
-        while k not in self.known:
-            self.last = self.last @ self.hop
-            top = self.last.max()
-            self.last, self.scale, self.k = self.last / top, self.scale + np.log10(top), self.k + 1
-            if self.k <= 64 or self.k == k:
-                self.known[self.k] = np.log10(self.last) + self.scale
-        got = self.known[k]
-        if k > 64:
-            del self.known[k]
+        if k in self.known:
+            return self.known[k]
+        last, scale = self.step, 0.0
+        for bit in range(k.bit_length()):
+            if bit == len(self.squares):
+                x, s = self.squares[-1]
+                self.squares.append(self._scaled(x @ x, 2 * s))
+            if k >> bit & 1:
+                x, s = self.squares[bit]
+                last, scale = self._scaled(last @ x, scale + s)
+        got = np.log10(last) + scale
+        if k <= 64:
+            self.known[k] = got
         return got
 
 

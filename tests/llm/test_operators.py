@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import signal
 import zlib
 
 import numpy as np
@@ -263,6 +264,27 @@ def test_class_lm_scores_by_hand(spark):
     assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted(want)
 
 
+def test_long_runs_of_unseen_words():
+    """Runs of equal and of falling length, over 64 too, one after the other: two of 70 once never ended."""
+    rng = np.random.default_rng(3)
+    step, unseen = rng.random((5, 5)) + 0.01, rng.random(5) * 1e-3
+    over = class_lm._Over(step, unseen)
+
+    def ended(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, ended)
+    signal.alarm(20)
+    try:
+        for k in (0, 3, 70, 70, 65, 90, 90, 64, 1):
+            want = step @ np.linalg.matrix_power(unseen[:, None] * step * 1000, k)
+            assert over.log(k) == pytest.approx(np.log10(want) - 3 * k)
+        assert np.isfinite(over.log(1_000_000)).all() and (over.log(1_000_000) == over.log(1_000_000)).all()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_exchange():
     blocks = np.kron(np.eye(4), np.ones((8, 8))) * 50
     pairs = np.zeros((33, 33))
