@@ -87,11 +87,19 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row."""
+    n = np.bitwise_count(x)
+    return n if n.ndim == 1 else n.sum(axis=1, dtype=np.uint8)
+
+
 class GrayIndex:
-    """Distinct fingerprints in Gray order under a tree of the bit patterns that groups share."""
+    """Fingerprints of one word, or rows of several, in Gray order under a tree of the bit patterns that groups share."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints[np.argsort(gray_rank(prints), kind="stable")]
+        words = [gray_rank(w) for w in np.atleast_2d(prints.T)]
+        self.order = np.lexsort(words[::-1])
+        self.prints = prints[self.order]
         levels = [(self.prints, self.prints)]
         while len(levels[-1][0]) > FAN:
             both, either = levels[-1]
@@ -103,25 +111,41 @@ class GrayIndex:
             above = shared[k + 1][np.arange(len(shared[k])) // FAN] if k + 1 < len(levels) else np.uint64(0)
             self.levels.append((levels[k][0], shared[k] & ~above, FAN**k))
 
+    def walk(self, asked: np.ndarray, bits: int, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+        """Arrays (i, j): asked[i] and self.prints[j] differ in at most `bits` bits. wanted(i, node, depth, span): groups to walk into."""
+        top = len(self.levels[0][0])
+        q, node = np.repeat(np.arange(len(asked)), top), np.tile(np.arange(top), len(asked))
+        gathered = np.zeros(len(q), np.uint8)
+        for depth, (pattern, adds, span) in enumerate(self.levels):
+            if depth:
+                q, gathered = np.repeat(q, FAN), np.repeat(gathered, FAN)
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                there = node < len(pattern)
+                q, node, gathered = q[there], node[there], gathered[there]
+            if wanted is not None:
+                there = wanted(q, node, depth, span)
+                q, node, gathered = q[there], node[there], gathered[there]
+            gathered = gathered + _ones((asked[q] ^ pattern[node]) & adds[node])
+            near = gathered <= bits
+            q, node, gathered = q[near], node[near], gathered[near]
+        return q, node
+
     def links(self, bits: int = BITS, block: int = 1024):
         """Arrays (i, j), i < j: entries of self.prints that differ in at most `bits` bits."""
-        n = len(self.prints)
-        for lo in range(0, n, block):
-            query = np.arange(lo, min(n, lo + block))
-            top = len(self.levels[0][0])
-            q, node = np.repeat(query, top), np.tile(np.arange(top), len(query))
-            gathered = np.zeros(len(q), np.uint8)
-            for depth, (pattern, adds, span) in enumerate(self.levels):
-                if depth:
-                    q, gathered = np.repeat(q, FAN), np.repeat(gathered, FAN)
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    there = node < len(pattern)
-                    q, node, gathered = q[there], node[there], gathered[there]
-                gathered = gathered + np.bitwise_count((self.prints[q] ^ pattern[node]) & adds[node])
-                near = (gathered <= bits) & ((node + 1) * span - 1 > q)
-                q, node, gathered = q[near], node[near], gathered[near]
+        for lo in range(0, len(self.prints), block):
+            q, node = self.walk(self.prints[lo : lo + block], bits, lambda i, node, depth, span, lo=lo: (node + 1) * span - 1 > i + lo)
             if len(q):
-                yield q, node
+                yield q + lo, node
+
+    def apart(self, label: np.ndarray):
+        """For walk(): groups that hold an entry of another label than own[i]; label: of each entry, in the order of self.prints."""
+        levels = [label]
+        for _ in self.levels[1:]:
+            at = np.arange(0, len(levels[-1]), FAN)
+            least, most = np.minimum.reduceat(levels[-1], at), np.maximum.reduceat(levels[-1], at)
+            levels.append(np.where(least == most, least, -1))  # -1: several
+        levels.reverse()
+        return lambda own: lambda i, node, depth, span: levels[depth][node] != own[i]
 
 
 def roots(n: int, links) -> np.ndarray:
@@ -397,12 +421,38 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.filter(F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
+def _groups(batches, width: int):
+    """Tables of the rows that agree in their first `width` columns; such rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([np.asarray(batch.column(k)) for k in range(width)], axis=1)
+        starts = [0, *(1 + np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1))).tolist(), len(ids)]
+        for lo, hi in zip(starts, starts[1:]):
+            if held and any(held[-1].column(k)[0].as_py() != ids[lo, k] for k in range(width)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(table: pa.Table, *at: int) -> list[np.ndarray]:
+    return [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in at]
+
+
+def _patterns(*ranks: np.ndarray) -> np.ndarray:
+    """Rows of the bit patterns that have these Gray ranks."""
+    return np.stack([(r := x.view(np.uint64)) ^ (r >> np.uint64(1)) for x in ranks], axis=1)
+
+
 def _resolve(batches):
     """Sorted rows (piece, a, b, open, node, root, r0, r1, shingles) -> a spanning set of the links of similarity SIMILAR at
-    least between an open row and any other row of a block that has another root."""
+    least between an open row and any other row of a block that has another root. Open rows walk down the Gray index of the others."""
 
     def told(table: pa.Table):
-        open_, node, root, r0, r1 = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(3, 8))
+        open_, node, root, r0, r1 = _columns(table, 3, 4, 5, 6, 7)
         lists = table.column(8).combine_chunks()
         ends = np.cumsum(lists.value_lengths().to_numpy())
         kinds, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -410,60 +460,136 @@ def _resolve(batches):
         label = np.unique(root, return_inverse=True)[1]
         mine = np.zeros(len(kinds), np.int8)
         found = []
-        for i in np.flatnonzero(open_).tolist():
-            j = np.flatnonzero((label != label[i]) & ~open_ & (differing(r0, r0[i]) + differing(r1, r1[i]) <= RADIUS))
-            if not len(j):
-                continue
-            own = flat[begins[i] : ends[i]]
-            mine[own] = 1
-            both = np.array([mine[flat[begins[k] : ends[k]]].sum(dtype=np.int64) for k in j.tolist()])
-            mine[own] = 0
-            for k in j[both >= SIMILAR * (len(own) + ends[j] - begins[j] - both)].tolist():
-                if label[i] != label[k]:
-                    label[label == label[k]] = label[i]
-                    found.append((node[i], node[k]))
+        prints, asked, rest = _patterns(r0, r1), np.flatnonzero(open_), np.flatnonzero(~open_)
+        if not len(asked) or not len(rest):
+            return
+        index = GrayIndex(prints[rest])
+        rest = rest[index.order]
+        for lo in range(0, len(asked), 64):
+            some = asked[lo : lo + 64]
+            q, at = index.walk(prints[some], RADIUS, index.apart(label[rest])(label[some]))
+            by = np.argsort(q, kind="stable")
+            edges = np.searchsorted(q[by], np.arange(len(some) + 1))
+            for place, i in enumerate(some.tolist()):
+                j = rest[at[by[edges[place] : edges[place + 1]]]]
+                j = j[label[j] != label[i]]
+                if not len(j):
+                    continue
+                own = flat[begins[i] : ends[i]]
+                mine[own] = 1
+                both = np.array([mine[flat[begins[k] : ends[k]]].sum(dtype=np.int64) for k in j.tolist()])
+                mine[own] = 0
+                for k in j[both >= SIMILAR * (len(own) + ends[j] - begins[j] - both)].tolist():
+                    if label[i] != label[k]:
+                        label[label == label[k]] = label[i]
+                        found.append((node[i], node[k]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    held: list[pa.RecordBatch] = []
+    for table in _groups(batches, 3):
+        yield from told(table)
+
+
+def _meet(batches):
+    """Sorted rows (key, b, open, held, root, r0, r1) -> links (u, v) that join the roots of which two texts of a block are
+    within RADIUS. Open rows walk down the Gray index of those held; only a spanning set of links leaves the task."""
+
+    def told(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def solve(open_, held, root, prints):
+        kinds, label = np.unique(root, return_inverse=True)
+        asked = np.flatnonzero(open_)
+        if not len(asked) or not held.any():
+            return
+        index = GrayIndex(prints[held])
+        inside = label[held][index.order]
+        joined, wanted = np.arange(len(kinds)), None
+        step = max(1, (1 << 19) // len(index.prints))
+        for lo in range(0, len(asked), step):
+            if wanted is None:
+                wanted = index.apart(joined[inside])
+            some = asked[lo : lo + step]
+            own = joined[label[some]]
+            q, at = index.walk(prints[some], RADIUS, wanted(own))
+            if not len(q):
+                continue
+            root_of = roots(len(kinds), [(own[q], joined[inside[at]])])
+            moved = np.flatnonzero(root_of != np.arange(len(kinds)))
+            if len(moved):
+                yield told(kinds[root_of[moved]], kinds[moved])
+                joined, wanted = root_of[joined], None
+                if (joined == joined[0]).all():
+                    return
+
+    def small(key, block, root, prints):
+        """Groups of a few rows, all at once: each row against the next ones of its group."""
+        step = 1
+        while len(key) > step:
+            same = (key[step:] == key[:-step]) & (block[step:] == block[:-step])
+            if not same.any():
+                return
+            near = same & (root[step:] != root[:-step])
+            near &= _ones(prints[step:] ^ prints[:-step]) <= RADIUS
+            if near.any():
+                yield told(np.minimum(root[step:][near], root[:-step][near]), np.maximum(root[step:][near], root[:-step][near]))
+            step += 1
+
+    def flush(rows):
+        key, block, open_, held, root, r0, r1 = rows
+        prints = _patterns(r0, r1)
+        begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        sizes = np.diff(np.append(begins, len(key)))
+        tiny = np.repeat(sizes <= 16, sizes)
+        yield from small(key[tiny], block[tiny], root[tiny], prints[tiny])
+        for b, n in zip(begins[sizes > 16].tolist(), sizes[sizes > 16].tolist()):
+            yield from solve(open_[b : b + n], held[b : b + n], root[b : b + n], prints[b : b + n])
+
+    kept: list[list[np.ndarray]] = []  # of the last group, which may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
-        starts = [0, *(1 + np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1))).tolist(), len(ids)]
-        for lo, hi in zip(starts, starts[1:]):
-            if held and any(held[-1].column(k)[0].as_py() != ids[lo, k] for k in range(3)):
-                yield from told(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from told(pa.Table.from_batches(held))
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        goes_on = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        if goes_on.all() and (not kept or (kept[0][0][0] == rows[0][0] and kept[0][1][0] == rows[1][0])):
+            kept.append(rows)
+            continue
+        done = [c[~goes_on] for c in rows]
+        if kept:
+            done = [np.concatenate([h[k] for h in kept] + [c]) for k, c in enumerate(done)]
+        if len(done[0]):
+            yield from flush(done)
+        kept = [[c[goes_on] for c in rows]]
+    if kept:
+        yield from flush([np.concatenate([h[k] for h in kept]) for k in range(7)])
 
 
 def _pieces(pairs: DataFrame, sketches: DataFrame, root: DataFrame) -> DataFrame | None:
     """node (a root) and root (its piece) for the roots of which some texts share a bucket and are within RADIUS; None if none do.
 
-    In each bucket the texts outside its most frequent root meet all its texts, in blocks of BLOCK."""
+    In each bucket the texts outside its most frequent root meet all its texts, through a Gray index of BUCKET rows at most.
+    No pair is written out: a bucket gives fewer links than it has roots."""
     rows = pairs.select("key", F.explode(F.array("u", "v")).alias("node")).distinct().join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     by_root = cut(rows.groupBy("key", "root").agg(F.count("*").alias("n")))
-    mixed = cut(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", "n", F.col("top.root").alias("top")))
+    mixed = cut(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.ceil(F.col("n") / BUCKET).alias("blocks"), F.col("top.root").alias("top")))
     if mixed.isEmpty():
         return None
-    rows = cut(rows.join(broadcast_if_small(mixed), "key").join(sketches.select("node", "ranks"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
-    all_ = rows.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("b"), "root", "ranks")
-    open_ = rows.filter("root <> top").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), F.col("root").alias("mine"), F.col("ranks").alias("of"))
-    near = sum((_differ(F.col("ranks")[k], F.col("of")[k]) for k in range(LONG)), F.lit(0)) <= RADIUS
-    met = all_.join(open_, ["key", "b"]).filter((F.col("root") != F.col("mine")) & near).select("key", F.explode(F.array("root", "mine")).alias("root")).distinct()
-    met = cut(met)
-    stars = met.join(met.groupBy("key").agg(F.min("root").alias("u")), "key").filter("root <> u").select("u", F.col("root").alias("v"))
-    return None if met.isEmpty() else components(stars)
+    mine, open_ = F.pmod(F.xxhash64("node"), "blocks"), F.col("root") != F.col("top")
+    rows = rows.join(broadcast_if_small(mixed), "key").join(sketches.select("node", "ranks"), "node").select("key", "root", "ranks", mine.alias("mine"), open_.alias("open"), "blocks")
+    ranks = [F.col("ranks")[k].alias(f"r{k}") for k in range(LONG)]
+    own = rows.select("key", F.col("mine").alias("b"), "open", F.lit(True).alias("held"), "root", *ranks)
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: b != F.col("mine"))).alias("b")
+    guests = rows.filter("open AND blocks > 1").select("key", others, "open", F.lit(False).alias("held"), "root", *ranks)
+    links = cut(own.unionByName(guests).repartition("key", "b").sortWithinPartitions("key", "b").mapInArrow(_meet, "u bigint, v bigint").distinct())
+    return None if links.isEmpty() else components(links)
 
 
 def similar(texts: DataFrame, words: int) -> DataFrame:
     """node and root for the texts that are linked with another by similarity SIMILAR at least. texts: node (hash of the text), text.
 
-    Neighbours in the sorted buckets are confirmed first, for each text its nearest one and then those that are in different
-    groups still. What is left are texts that share a bucket with another group: these meet all texts of the groups in question."""
+    Neighbours in the buckets, which are in Gray order, are confirmed first, for each text its nearest one and then those that
+    are in different groups still. What is left are texts that share a bucket with another group: the hierarchical Gray index of
+    the bucket tells which groups are in question, and in these the texts meet all others through a Gray index of each block."""
     ship_package(texts.sparkSession)
 
     def sketched(batches):

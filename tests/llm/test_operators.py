@@ -8,6 +8,7 @@ import signal
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -538,6 +539,56 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_least_similar(docs).collect()) == sorted(want)
 
 
+def test_gray_index_of_long_prints():
+    """Texts of one bucket meet through the tree: as all pairs do, and a bucket tells fewer links than it has roots."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
+    flips = np.packbits(rng.random((400, 128)) < 0.1, axis=1).view(np.uint64)
+    prints = base[rng.integers(0, 6, 400)] ^ flips
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    index = simhash.GrayIndex(prints)
+    asked = prints[:50]
+    i, j = index.walk(asked, simhash.RADIUS)
+    assert set(zip(i.tolist(), index.order[j].tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart[:50] <= simhash.RADIUS))))
+    label = rng.integers(0, 3, 400)
+    i, j = index.walk(asked, simhash.RADIUS, index.apart(label[index.order])(label[:50]))
+    assert set(zip(i.tolist(), index.order[j].tolist())) == set(zip(*(x.tolist() for x in np.nonzero((apart[:50] <= simhash.RADIUS) & (label[:50, None] != label)))))
+
+    ranks = [simhash.gray_rank(prints[:, k].copy()).view(np.int64) for k in range(2)]
+    for size, parts in ((400, 1), (400, 3), (8, 1)):  # one group, the same in blocks, groups of a few rows
+        root = np.where(np.arange(400) < 100, 7, 1000 + np.arange(400) // 2)
+        key, b = np.arange(400) // size, np.arange(400) % parts
+        open_ = root != 7
+        rows = [(key[r], at, open_[r], b[r] == at, root[r], ranks[0][r], ranks[1][r]) for r in range(400) for at in range(parts) if b[r] == at or open_[r]]
+        rows.sort(key=lambda x: x[:2])
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 70])], names=[f"c{k}" for k in range(7)]) for at in range(0, len(rows), 70)]
+        got = [(u, v) for t in simhash._meet(iter(batches)) for u, v in zip(*(c.to_pylist() for c in t.columns))]
+        assert size == 8 or len(got) < parts * len(set(root))
+
+        def joined(links):
+            part = {r: r for r in root.tolist()}
+            for u, v in links:
+                part = {r: part[u] if x == part[v] else x for r, x in part.items()}
+            return collections.Counter(frozenset(r for r in part if part[r] == x) for x in set(part.values()))
+
+        pairs = [(int(root[x]), int(root[y])) for x, y in zip(*np.nonzero(apart <= simhash.RADIUS)) if key[x] == key[y] and root[x] != root[y] and (open_[x] or open_[y])]
+        assert joined(got) == joined(pairs) and len(joined(got)) < len(set(root))
+
+
+def test_large_bucket_of_near_copies_in_blocks(spark, monkeypatch):
+    """Buckets over BUCKET rows lie in several blocks; no step makes a row for each pair."""
+    draw = random.Random(13)
+    base = ["w" + str(draw.randrange(3000)) for _ in range(100)]
+    texts = [" ".join(f"n{draw.randrange(10**6)}" if x in cut else w for x, w in enumerate(base)) for cut in (set(draw.sample(range(100), 4)) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    whole = sorted(r.doc_id for r in simhash.keep_least_similar(docs).collect())
+    made = []
+    monkeypatch.setattr(simhash, "components", lambda edges, f=simhash.components: made.append(edges.count()) or f(edges))
+    monkeypatch.setattr(simhash, "BUCKET", 32)
+    assert sorted(r.doc_id for r in simhash.keep_least_similar(docs).collect()) == whole and len(whole) > 100
+    assert max(made) < 20 * 2 * len(texts)
+
+
 def test_sharding_keeps_hot_texts_together(spark):
     text = F.when(F.col("id") < 500, "five").when(F.col("id") < 600, "ten").when(F.col("id") < 1000, F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).otherwise(F.col("id").cast("string"))
     rows = sharding.shard(spark.range(1600).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
