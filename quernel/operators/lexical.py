@@ -66,7 +66,8 @@ def ranked(scored: DataFrame, depth: int, score: str = "score") -> DataFrame:
 def bm25(queries: DataFrame, posting_list: DataFrame, stats: DataFrame) -> DataFrame:
     """query_id, doc_id, chunk_no, score for every passage that shares a term with a query (query_id, text).
 
-    Contributions are added in the order of the query's words, so equal passages score the same to the last bit."""
+    Contributions are added in the order of the query's words, so equal passages score the same to the last bit. The postings
+    in question are dealt by passage once, before each meets the queries that ask for it; the sums need no other shuffle."""
     terms = query_terms(queries)
     asked = broadcast_if_small(terms.select("term").distinct())
     hit = posting_list.join(asked, "term", "left_semi")
@@ -76,6 +77,6 @@ def bm25(queries: DataFrame, posting_list: DataFrame, stats: DataFrame) -> DataF
     words = broadcast_if_small(cut(weighted.select("query_id", "pos", "term", idf.alias("idf"), "avg_len")))  # the counts are made once
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-    each = hit.join(words, "term").select("query_id", "doc_id", "chunk_no", F.struct("pos", part.alias("part")).alias("s"))
+    each = hit.repartition("doc_id", "chunk_no").join(words, "term").select("query_id", "doc_id", "chunk_no", F.struct("pos", part.alias("part")).alias("s"))
     summed = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda t, x: t + x["part"])
     return each.groupBy("query_id", "doc_id", "chunk_no").agg(summed.alias("score"))

@@ -10,7 +10,7 @@ from quernel.functions import vector as V
 from quernel.operators import chats, chunking, corpus, dense, hybrid, lexical, manifest, vectors
 from quernel.plans import fixtures as X
 from quernel.plans import sql as S
-from quernel.runtime import cut, spread
+from quernel.runtime import Stored, cut, spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -43,9 +43,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics, each computed once, as Engine.reindex() would write them."""
-    made = cut(passages(spark, sf_dir))
-    return cut(lexical.postings(made)), lexical.corpus_stats(made)
+    """Postings and statistics, each computed once, as Engine.reindex() would write them: as Parquet, which is a small part of
+    the rows' size in a checkpoint. The passages go when both are made."""
+    made = Stored(passages(spark, sf_dir).select("doc_id", "chunk_no", "text", "n_tokens"), "passages")
+    post, stats = Stored(lexical.postings(made.read()), "postings"), cut(lexical.corpus_stats(made.read()))
+    made.drop()
+    return post.read(), stats
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

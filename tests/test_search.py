@@ -42,6 +42,29 @@ def test_a_repeated_word_counts_twice(spark):
     assert abs(two - 2 * one) < 1e-12
 
 
+def test_postings_shuffle_once_whatever_the_batch(spark):
+    """Postings are dealt by passage; no row for each query and passage is shuffled."""
+    made, post, stats = corpus(spark, THREE)
+    asked = spark.createDataFrame([(str(i), "eject the drive drive models") for i in range(30)], "query_id string, text string")
+    got = lexical.bm25(asked, post, stats)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan
+    one = {(r.doc_id, r.score) for r in lexical.bm25(ask(spark, "eject the drive drive models"), post, stats).collect()}
+    assert len(one) == 2 and {(r.query_id, r.doc_id, r.score) for r in got.collect()} == {(str(i), *x) for i in range(30) for x in one}
+
+
+def test_index_keeps_postings_alone_as_parquet(spark):
+    from quernel.plans import catalogue
+    from quernel.runtime import ensure_checkpoint_dir
+
+    post, stats = catalogue.index(spark, "/root/testdata/sf0.001")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    assert all("/quernel/postings-" in f for f in post.inputFiles()) and post.inputFiles()
+    folder = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/quernel")
+    assert not any("passages-" in f.getPath().getName() for f in folder.getFileSystem(conf).listStatus(folder))
+    assert post.select("doc_id", "chunk_no").distinct().count() <= stats.first().n_passages
+
+
 def vec(i, n=8):
     return [1.0 if k == i else 0.0 for k in range(n)]
 
